@@ -64,3 +64,19 @@ def key_shares(df: DataFrame, key: str, item: str) -> DataFrame:
     total = per.agg(F.sum("n").alias("total"))
     # one row: the total is an aggregate without keys
     return per.join(F.broadcast(total)).select(F.col("k").alias(key), "n", (F.col("n") / F.col("total")).alias("share"))
+
+
+def salted_join(big: DataFrame, other: DataFrame, key: str, salt_by: str, salts: int = 16, how: str = "inner", heavy: list | None = None) -> DataFrame:
+    """Equi-join on ``key`` where some keys of ``big`` are heavy and ``other`` has few rows of each.
+
+    Rows of heavy keys in ``big`` are spread over ``salts`` partitions by the hash of ``salt_by``;
+    only the rows of these keys in ``other`` are repeated as often. Null keys join nothing; with
+    ``how`` left they are kept, spread like heavy ones. ``heavy`` has at most HEAVY_PARTS keys.
+    """
+    heavy = heavy_keys(big, key) if heavy is None else heavy
+    if not heavy:
+        return big.join(other, key, how)
+    k, part = F.col(key), F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")
+    a = big.withColumn("_salt", F.when(k.isNull() | k.isin(heavy), part).otherwise(F.lit(0)))
+    b = other.withColumn("_salt", F.explode(F.when(k.isin(heavy), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return a.join(b, [key, "_salt"], how).drop("_salt")
