@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..session import spread, stage
 from ..sources.tables import logs, once, pages, postings, table
-from . import encoding, leaks, ngrams, percentiles, pieces
+from . import encoding, leaks, neighbours, ngrams, percentiles, pieces
+
+
+# 1: most similar vectors
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, d, "chunk_vectors"), "chunk_id", "embedding")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(p1_neighbours(spark, d), 0.85).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
 # 2: frequency of every term
@@ -81,7 +90,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_term_stats, p2_ngrams, p3_found, p3_percentiles, p5_found, p5_pieces, p8_ids, p8_decoded, p9_found, p9_leaks)
+    f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_term_stats, p2_ngrams, p3_found, p3_percentiles, p5_found, p5_pieces, p8_ids, p8_decoded, p9_found, p9_leaks)
 }
 
 SQL: dict[str, str] = {}
