@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..session import spread, stage
 from ..sources.tables import logs, once, pages, postings, table
-from . import encoding, leaks, neighbours, ngrams, percentiles, pieces
+from . import encoding, leaks, neardup, neighbours, ngrams, percentiles, pieces
 
 
 # 1: most similar vectors
@@ -71,6 +71,25 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).where("piece = 2").select("kind", "item_id")
 
 
+# 6: near-duplicate pages
+def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = pages(spark, d, "text_content")
+    return neardup.similar_sets(spread(p, "page_id"), "page_id", "text_content")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(*_similar(spark, d)).select(F.col("a").alias("page_id_a"), F.col("b").alias("page_id_b"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    members, links = _similar(spark, d)
+    links = stage(links)
+    group = members.join(neardup.components(members, links), "rid")
+    n = links.select("a", "b").union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("links"))
+    least = group.groupBy("cls").agg(F.min("key").alias("group_id"))
+    return group.join(least, "cls").join(n.withColumnRenamed("a", "rid"), "rid", "left").select(F.col("key").alias("page_id"), "group_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 # 8: encoding
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")
@@ -90,7 +109,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_term_stats, p2_ngrams, p3_found, p3_percentiles, p5_found, p5_pieces, p8_ids, p8_decoded, p9_found, p9_leaks)
+    f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_term_stats, p2_ngrams, p3_found, p3_percentiles, p5_found, p5_pieces, p6_found, p6_groups, p8_ids, p8_decoded, p9_found, p9_leaks)
 }
 
 SQL: dict[str, str] = {}
