@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..session import spread, stage
 from ..sources.tables import logs, once, pages, postings, table
-from . import encoding, leaks, neardup, neighbours, ngrams, percentiles, pieces
+from . import encoding, garbled, leaks, neardup, neighbours, ngrams, percentiles, pieces
 
 
 # 1: most similar vectors
@@ -108,8 +108,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id")
 
 
+# 10: wrong encodings
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.restore(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_term_stats, p2_ngrams, p3_found, p3_percentiles, p5_found, p5_pieces, p6_found, p6_groups, p8_ids, p8_decoded, p9_found, p9_leaks)
+    f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_term_stats, p2_ngrams, p3_found, p3_percentiles, p5_found, p5_pieces, p6_found, p6_groups, p8_ids, p8_decoded, p9_found, p9_leaks, p10_found, p10_restored)
 }
 
 SQL: dict[str, str] = {}
