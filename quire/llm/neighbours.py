@@ -15,9 +15,11 @@ from ..session import spread, stage
 #: Rows of the hash-ordered sample on which centroids are fitted and probes chosen; the index holds every row.
 TRAIN_ROWS = 20_000
 #: Sampled queries that choose the number of probed cells, and the share of their true neighbours these must hold.
-TUNE_QUERIES, TUNE_SHARE = 400, 0.97
+TUNE_QUERIES, TUNE_SHARE = 400, 0.95
 #: Most cells; rows of a block on either side; bits of a query component; width of the error bound.
-CELLS_MOST, BLOCK, QUERY_BITS, EPSILON = 4096, 8192, 4, 3.0
+CELLS_MOST, BLOCK, QUERY_BITS, EPSILON = 4096, 8192, 4, 1.9
+#: Index rows whose largest lower bound stands for them when the k-th best is sought.
+STRIP = 16
 SEED = 20190304
 
 
@@ -101,11 +103,11 @@ def _block(ix: Index, dim: int, k: int):
         x, ids = _matrix(rows.column("v"), dim), rows.column("id").to_numpy()
         raw = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
         code = np.ascontiguousarray(np.pad(raw, ((0, 0), (0, 8 * words - raw.shape[1])))).view(np.uint64)
-        ones = np.bitwise_count(code).sum(1).astype(np.float64)
-        length, fix = rows.column("len").to_numpy(), np.maximum(rows.column("fix").to_numpy(), 1e-6)
-        spread_ = np.sqrt(np.maximum(0, 1 - fix**2)) / fix * EPSILON / np.sqrt(dim - 1)
-        qv, qid, at = _matrix(queries.column("qv"), dim), queries.column("qid").to_numpy(), queries.column("cell").to_numpy()
-        out = []
+        ones = np.bitwise_count(code).sum(1).astype(np.float32)
+        length, fix = rows.column("len").to_numpy().astype(np.float32), np.maximum(rows.column("fix").to_numpy(), 1e-6).astype(np.float32)
+        part, wide = length / fix, length * np.sqrt(np.maximum(0, 1 - fix**2)) / fix * np.float32(EPSILON / np.sqrt(dim - 1))
+        qv, qid, at, tau = _matrix(queries.column("qv"), dim), queries.column("qid").to_numpy(), queries.column("cell").to_numpy(), queries.column("tau").to_numpy().astype(np.float32)
+        out, root = [], np.sqrt(dim)
         for a in range(0, len(qid), 256):
             v, me = qv[a : a + 256], qid[a : a + 256]
             r = v @ ix.rotation.T - rotated[at[a : a + 256]]
@@ -114,21 +116,31 @@ def _block(ix: Index, dim: int, k: int):
             low = u.min(1)
             step = np.maximum((u.max(1) - low) / (2**QUERY_BITS - 1), 1e-12)
             level = np.rint((u - low[:, None]) / step[:, None]).astype(np.uint8)
-            dot = np.zeros((len(me), len(ids)), np.uint32)
+            dot = np.zeros((len(me), len(ids)), np.uint16)
             for j in range(QUERY_BITS):
                 plane = np.packbits((level >> j) & 1, axis=1)
                 plane = np.ascontiguousarray(np.pad(plane, ((0, 0), (0, 8 * words - plane.shape[1])))).view(np.uint64)
                 for w in range(words):
-                    dot += np.bitwise_count(plane[:, w, None] & code[None, :, w]).astype(np.uint32) << np.uint32(j)
-            # <sign code, query> from the packed bits, then divided by <sign code, own residual>
-            inner = (2 * (step[:, None] * dot + low[:, None] * ones) - u.sum(1)[:, None]) / np.sqrt(dim)
-            both = size[:, None] * length[None, :]
-            est = 1 - (size[:, None] ** 2 + length[None, :] ** 2) / 2 + both * inner / fix
-            err = both * (spread_ + EPSILON * step[:, None] / np.sqrt(12) / fix)
-            floor, self_ = est - err, me[:, None] == ids[None, :]
-            floor[self_] = -np.inf
-            kth = np.partition(floor, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(me), -np.inf)
-            i, j = np.nonzero((est + err >= kth[:, None]) & ~self_)
+                    dot += np.bitwise_count(plane[:, w, None] & code[None, :, w]).astype(np.uint16) << np.uint16(j)
+            # <sign code, query> from the packed bits, over <sign code, own residual>; then the cosine
+            f = lambda x: x.astype(np.float32)[:, None]
+            est = dot.astype(np.float32)
+            est *= f(2 * step / root)
+            est += f(2 * low / root) * ones
+            est -= f(u.sum(1) / root)
+            est *= part
+            est *= f(size)
+            est += f(1 - size**2 / 2) - length**2 / 2
+            err = f(size) * (wide + f(EPSILON * step / np.sqrt(12)) * part)
+            self_ = me[:, None] == ids[None, :]
+            floor = est - err
+            floor[self_] = -2
+            # the k-th largest of the maxima of strips is at most the k-th largest
+            strips = np.maximum.reduceat(floor, np.arange(0, len(ids), STRIP), axis=1)
+            kth = np.partition(strips, -k, axis=1)[:, -k] if strips.shape[1] >= k else np.full(len(me), -2, np.float32)
+            least = np.maximum(kth, tau[a : a + 256] - np.float32(1e-6))
+            est += err
+            i, j = np.nonzero((est >= least[:, None]) & ~self_)
             sim = np.round(np.einsum("ij,ij->i", v[i], x[j]), 7)
             order = np.lexsort((ids[j], -sim, i))
             i, j, sim = i[order], j[order], sim[order]
@@ -169,8 +181,16 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5)
     grid = F.broadcast(df.sparkSession.createDataFrame(parts, "cell int, ni int, nq int"))
     h = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
     index = coded.join(grid, "cell").select("id", "v", "code", "len", "fix", "cell", h("ni").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
-    asks = coded.select("id", "v", F.explode("probe").alias("cell")).join(grid, "cell").select(F.col("id").alias("qid"), F.col("v").alias("qv"), "cell", h("nq").alias("j"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"))
-    met = asks.groupBy("cell", "i", "j").cogroup(index.groupBy("cell", "i", "j")).applyInArrow(_block(ix, dim, k), "q long, id long, sim double")
+
+    def look(asks: DataFrame) -> DataFrame:
+        asks = asks.join(grid, "cell").select(F.col("id").alias("qid"), F.col("v").alias("qv"), "tau", "cell", h("nq").alias("j"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"))
+        return asks.groupBy("cell", "i", "j").cogroup(index.groupBy("cell", "i", "j")).applyInArrow(_block(ix, dim, k), "q long, id long, sim double")
+
+    # the nearest cell first: what it finds bounds what the other cells must beat
+    own = stage(look(coded.select("id", "v", F.lit(-2.0).alias("tau"), F.col("probe")[0].alias("cell"))))
+    tau = own.groupBy("q").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(-F.col("sim"))).alias("s")).where(F.col("n") >= k).select(F.col("q").alias("id"), (-F.col("s")[k - 1]).alias("tau"))
+    more = coded.select("id", "v", "probe").join(tau, "id", "left").select("id", "v", F.coalesce("tau", F.lit(-2.0)).alias("tau"), F.explode(F.slice("probe", 2, ix.probes)).alias("cell"))
+    met = own.unionByName(look(more)) if ix.probes > 1 else own
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).where(F.col("r") <= k).select("q", "id", "sim")
     # the k + 1 best ids of each direction, itself included: bounded by (k + 1)^2 before they are sorted
     ids = reps.select("id", "ids", "dir")
