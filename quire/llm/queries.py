@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..session import spread, stage
 from ..sources.tables import logs, once, pages, postings, table
-from . import encoding, garbled, leaks, neardup, neighbours, ngrams, percentiles, pieces
+from . import encoding, garbled, leaks, neardup, neighbours, ngrams, percentiles, pieces, scans
 
 
 # 1: most similar vectors
@@ -90,6 +90,20 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return group.join(least, "cls").join(n.withColumnRenamed("a", "rid"), "rid", "left").select(F.col("key").alias("page_id"), "group_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+# 7: scanned pages
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    p = pages(spark, d, "book_id", "page_number", "display_page_number", "text_content")
+    return scans.repair_pages(p, table(spark, d, "books"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).select("page_id", F.explode("kinds").alias("kind"))
+
+
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).where(F.size("kinds") > 0).select("page_id", "text")
+
+
 # 8: encoding
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")
@@ -118,7 +132,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_term_stats, p2_ngrams, p3_found, p3_percentiles, p5_found, p5_pieces, p6_found, p6_groups, p8_ids, p8_decoded, p9_found, p9_leaks, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_term_stats, p2_ngrams, p3_found, p3_percentiles, p5_found, p5_pieces, p6_found, p6_groups, p7_found, p7_repaired, p8_ids, p8_decoded, p9_found, p9_leaks, p10_found, p10_restored)
 }
 
 SQL: dict[str, str] = {}
