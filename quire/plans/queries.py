@@ -1,16 +1,27 @@
-"""Queries of the core and the equal SQL."""
+"""Queries of the core over the library's tables; the equal SQL is in ``sql``."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import key_shares
-from ..sources.tables import table
+from ..functions.text import first_sentences, sentences, tokens, trim_ws, truncate, ws_split
+from ..operators import chunking, lexical, logs, ltr, ranking, sync, vectors
+from ..operators.skew import key_shares, salted_aggregate
+from ..session import shared_dir
+from ..sources import files, store
+from ..sources.tables import indexable_pages, once, pages, table
+from ..sources.tables import logs as log_rows
+from ..streaming import daily
+from .sql import QUERIES_TEXT, SQL
 
+__all__ = ["QUERIES", "SQL"]
 
+
+# 4: per-key results with heavy keys
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return key_shares(table(spark, d, "pages"), "book_id", "page_id")
 
@@ -19,5 +30,382 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_shares(spark, d).where("share >= 0.04").select("book_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_shares)}
-SQL: dict[str, str] = {}
+def p4_profile(spark: SparkSession, d: str) -> DataFrame:
+    p = pages(spark, d, "book_id", "text_content").where("book_id is not null").withColumn("chars", F.length("text_content"))
+    return salted_aggregate(p, "book_id", {"pages": ("count", "*"), "with_text": ("count", "chars"), "chars": ("sum", "chars"), "shortest": ("min", "chars"), "longest": ("max", "chars"), "mean": ("avg", "chars")}, salt_by="page_id").withColumn("mean", F.round("mean", 6))
+
+
+# the lexical index
+def _queries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(QUERIES_TEXT, "query_id long, query string")
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = indexable_pages(spark, d)
+    return lexical.build_docs(p), lexical.build_postings(p)
+
+
+def page_view(spark, d):
+    p = pages(spark, d, "book_id", "page_number", "text_content").where("book_id is not null")
+    return chunking.page_rows(p)
+
+
+def book_dim(spark, d):
+    return sync.book_dim(table(spark, d, "books"), pages(spark, d, "book_id"))
+
+
+def book_rows(spark, d):
+    return chunking.book_rows(table(spark, d, "books"))
+
+
+def page_with_book(spark, d):
+    x = sync.page_with_book(pages(spark, d, "book_id", "page_number"), table(spark, d, "books"))
+    return x.select("page_id", "page_number", F.col("book.title").alias("title"), F.col("book.author").alias("author"), F.col("book.year").alias("year"), F.col("book.domain").alias("domain"), F.col("book.num_pages").alias("num_pages"))
+
+
+def token_positions(spark, d):
+    return lexical.token_positions(indexable_pages(spark, d))
+
+
+def posting_lists(spark, d):
+    return _index(spark, d)[1].withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+def term_frequency(spark, d):
+    return _index(spark, d)[1].select("term", "book_id", "page_number", "tf")
+
+
+def doc_length(spark, d):
+    return _index(spark, d)[0].select("book_id", "page_number", F.col("dl").cast("long").alias("dl"))
+
+
+def doc_frequency(spark, d):
+    return lexical.document_frequency(_index(spark, d)[1])
+
+
+def corpus_stats(spark, d):
+    return lexical.corpus_stats(_index(spark, d)[0]).withColumn("avg_dl", F.round("avg_dl", 6))
+
+
+def index_counters(spark, d):
+    p = pages(spark, d, "book_id", "page_number", "text_content")
+    return lexical.index_counters(p, table(spark, d, "books"), F.length(trim_ws(F.coalesce("text_content", F.lit("")))) == 0)
+
+
+def query_expansion(spark, d):
+    e = lexical.expansions(lexical.query_tokens(_queries(spark)))
+    return e.select("query_id", F.posexplode("ex").alias("ord", "alt")).withColumn("ord", F.col("ord").cast("long"))
+
+
+def _bm25(spark, d, queries, k):
+    docs, postings = _index(spark, d)
+    terms = lexical.weighted_terms(lexical.query_tokens(queries))
+    return lexical.top_per_query(lexical.bm25(terms, postings, docs), "bm25", k).select("query_id", F.col("rank").cast("long").alias("rank"), "book_id", "page_number", F.round("bm25", 6).alias("bm25"))
+
+
+def bm25_topk(spark, d):
+    return _bm25(spark, d, _queries(spark), 10)
+
+
+def bm25_multi_query(spark, d):
+    return _bm25(spark, d, _items(spark, d), 10)
+
+
+def _features(spark, d):
+    docs, postings = _index(spark, d)
+    q = _queries(spark)
+    cands = lexical.top_per_query(lexical.bm25(lexical.weighted_terms(lexical.query_tokens(q)), postings, docs), "bm25", 250).drop("rank")
+    return ranking.features(cands, q, postings, docs)
+
+
+def phrase_hits(spark, d):
+    return _features(spark, d).select("query_id", "book_id", "page_number", F.col("hits").cast("long").alias("hits"))
+
+
+def ordered_span(spark, d):
+    return _features(spark, d).select("query_id", "book_id", "page_number", F.col("span").cast("long").alias("span"))
+
+
+def proximity_boost(spark, d):
+    return _features(spark, d).select("query_id", "book_id", "page_number", F.round("proximity", 6).alias("proximity"))
+
+
+def term_coverage(spark, d):
+    return _features(spark, d).select("query_id", "book_id", "page_number", F.round("exact", 6).alias("exact"), F.round("expanded", 6).alias("expanded"))
+
+
+def ngram_boost(spark, d):
+    return _features(spark, d).select("query_id", "book_id", "page_number", F.round("ngram", 6).alias("ngram"))
+
+
+def snippet(spark, d):
+    return _features(spark, d).select("query_id", "book_id", "page_number", ranking.snippet(F.col("text_content"), F.col("qt")).alias("snippet"))
+
+
+def lexical_rerank(spark, d):
+    docs, postings = _index(spark, d)
+    return ranking.hybrid(_queries(spark), postings, docs, None, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "book_id", "page_number", "score", "lexical")
+
+
+# vectors: the vectors of some chunks stand for query vectors
+def _query_vectors(chunks: DataFrame) -> DataFrame:
+    """(query_id, qvec): the vectors of the chunks with the smallest ids, one for each query in order."""
+    few = chunks.select("chunk_id", "vec").orderBy("chunk_id").limit(len(QUERIES_TEXT))
+    return few.select(F.row_number().over(Window.orderBy("chunk_id")).cast("long").alias("query_id"), F.col("vec").alias("qvec"))
+
+
+def _semantic(spark, d):
+    c = vectors.unit_chunks(table(spark, d, "chunk_vectors"))
+    return vectors.scores(_query_vectors(c), c)
+
+
+def vector_topk(spark, d):
+    return vectors.top_chunks(_semantic(spark, d), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
+
+
+def vector_page_maxpool(spark, d):
+    return vectors.top_pages(vectors.page_max(_semantic(spark, d)), 200).select("query_id", "book_id", "page_number", F.round("semantic", 6).alias("semantic"), "chunk_id")
+
+
+def vector_page_restricted(spark, d):
+    p = indexable_pages(spark, d).where("page_number <= 2").select("book_id", "page_number").join(F.broadcast(_queries(spark).select("query_id")))
+    return vectors.restricted(p, _semantic(spark, d)).withColumn("semantic", F.round("semantic", 6))
+
+
+def hybrid_search(spark, d):
+    """The flagship: every query fused from its lexical and vector candidates in one plan."""
+    docs, postings = _index(spark, d)
+    sem = vectors.top_pages(vectors.page_max(_semantic(spark, d)), 300).select("query_id", "book_id", "page_number", "semantic", "hint")
+    return ranking.hybrid(_queries(spark), postings, docs, sem, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "book_id", "page_number", "page_id", "score", "lexical", "semantic")
+
+
+def clustered_recall(spark, d):
+    """(query_id, hits): how many of the 10 best chunks the clustered search finds."""
+    c = vectors.unit_chunks(table(spark, d, "chunk_vectors"))
+    q = _query_vectors(c)
+    exact = vectors.top_chunks(vectors.scores(q, c), 10).select("query_id", "chunk_id")
+    n = c.count()
+    found = vectors.clustered_search(c, q, 10, min(vectors.clusters(n), max(1, n // 8)), 16).select("query_id", "chunk_id")
+    return exact.join(found, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count("*").alias("hits"))
+
+
+def title_resolution(spark, d):
+    b = table(spark, d, "books").select("book_id", "title")
+    blank = b.withColumn("title", F.when(F.col("book_id") % 3 == 0, "unknown").when(F.col("book_id") % 3 == 1, "  ").otherwise(F.col("title")))
+    return sync.resolve_titles(pages(spark, d, "book_id", "page_number"), blank, b)
+
+
+# chunks
+def chunk_pages(spark, d):
+    return chunking.chunk_pages(indexable_pages(spark, d)).withColumn("word_count", F.col("word_count").cast("long"))
+
+
+def chunk_sizes(spark, d):
+    p = indexable_pages(spark, d).select("page_id", F.size(ws_split("text_content")).alias("n"))
+    return p.select("page_id", F.posexplode(chunking.chunk_sizes(F.col("n"))).alias("i", "size")).select("page_id", (F.col("i") + 1).cast("long").alias("chunk_index"), F.col("size").cast("long").alias("size"))
+
+
+def chunk_ids(spark, d):
+    """Global chunk numbers in the order of book, page and chunk, without one task for all rows."""
+    c = chunking.chunk_pages(indexable_pages(spark, d)).select("book_id", "page_number", "chunk_index", F.col("chunk_id").alias("name"))
+    return sync.numbered(c, ["book_id", "page_number", "chunk_index"], "chunk_id").select("chunk_id", "name")
+
+
+# logs
+def history_user(spark, d):
+    return logs.history(log_rows(spark, d, "user_id", "query_text", "created_at").where("created_at is not null"), 2, 50)
+
+
+def admin_logs_page(spark, d):
+    return logs.page_of_logs(log_rows(spark, d, "user_id", "query_text", "created_at").where("created_at is not null"), 20, 50)
+
+
+def log_summary(spark, d):
+    return logs.summary(log_rows(spark, d, "latency_ms", "total_results", "query_text"))
+
+
+def daily_activity(spark, d):
+    return logs.daily(log_rows(spark, d, "latency_ms", "created_at"))
+
+
+def query_frequency(spark, d):
+    return logs.query_frequency(log_rows(spark, d, "query_text"))
+
+
+def top_results(spark, d):
+    return logs.result_rows(log_rows(spark, d, "top_results")).withColumn("position", F.col("position").cast("long"))
+
+
+def history_delete(spark, d):
+    kept, gone = logs.without(log_rows(spark, d, "user_id"), 2)
+    return kept.agg(F.count("*").alias("kept")).join(gone)  # one row each
+
+
+def next_id(spark, d):
+    return logs.next_id(table(spark, d, "search_logs"), "log_id")
+
+
+def stream_daily(spark, d):
+    """Daily figures of the log folder read as a stream up to its end."""
+    src = table(spark, d, "search_logs")
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    s = daily.log_stream(spark, f"{d}/search_logs.parquet", src.schema)
+    daily.run_available(daily.daily_counts(s, "40 days"), f"{at}/out", f"{at}/cp", "append")
+    return spark.read.schema("day date, searches long, avg_latency_ms double").parquet(f"{at}/out")
+
+
+# catalogue
+def status_histogram(spark, d):
+    return sync.status_histogram(table(spark, d, "books"))
+
+
+def _two_versions(spark, d):
+    b = table(spark, d, "books").select("book_id", "title", "year", "status")
+    old = b.where(F.col("book_id") % 5 != 0)
+    new = b.where(F.col("book_id") % 7 != 0).withColumn("status", F.when(F.col("book_id") % 4 == 0, "indexed").otherwise(F.col("status")))
+    return sync.upsert(old, new, "book_id")
+
+
+def manifest_sync(spark, d):
+    return _two_versions(spark, d)
+
+
+def sync_summary(spark, d):
+    return sync.sync_summary(_two_versions(spark, d))
+
+
+def backfill(spark, d):
+    return sync.backfill(table(spark, d, "books").select("book_id", "author", "year"), {"author": "Unknown", "year": 0})[1]
+
+
+def keyed_update(spark, d):
+    b = table(spark, d, "books").select("book_id", "title", "status")
+    return sync.patch(b, b.where("book_id % 10 = 0").select("book_id", F.lit("indexed").alias("status")), "book_id")
+
+
+def _gone(spark, d):
+    return table(spark, d, "books").where("book_id % 3 = 0").select("book_id")
+
+
+def index_remove_books(spark, d):
+    return lexical.remove_books(_index(spark, d)[1], _gone(spark, d)).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def incremental_reindex(spark, d):
+    """Books taken out and put in again: the same index as a full build."""
+    p = indexable_pages(spark, d)
+    docs, postings = _index(spark, d)
+    out = p.join(F.broadcast(_gone(spark, d)), "book_id", "left_semi")
+    _, again = lexical.add_pages(docs, postings, out)
+    return again.select("term", "book_id", "page_number", "tf")
+
+
+def published_index(spark, d):
+    """The index written as one version and read back."""
+    docs, postings = _index(spark, d)
+    root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    store.publish(spark, root, {"docs": docs, "postings": postings})
+    return store.read(spark, root, "postings").groupBy("book_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+
+
+def table_catalogue(spark, d):
+    return store.catalogue(spark, {n: table(spark, d, n) for n in ("books", "pages", "page_chunks", "search_logs")})
+
+
+# learning to rank
+def ltr_ngrams_top(spark, d):
+    p = _ltr_pages(spark, d)
+    return ltr.top_ngrams(ltr.page_terms(p)).select("page_id", F.col("n").cast("long").alias("n"), "gram", "cnt", F.col("rank").cast("long").alias("rank"))
+
+
+def _ltr_pages(spark, d):
+    return indexable_pages(spark, d).withColumn("word_count", F.size(ws_split("text_content")))
+
+
+def ltr_query_regen(spark, d):
+    p = indexable_pages(spark, d).select("page_id", trim_ws(F.substring("text_content", 1, 200)).alias("snippet"))
+    return p.select("page_id", ltr.regenerated_query(F.col("snippet")).alias("query"))
+
+
+def ltr_labels(spark, d):
+    p = _ltr_pages(spark, d)
+    return ltr.labelled(ltr.generated_queries(ltr.page_terms(p)), p)
+
+
+def ltr_label_histogram(spark, d):
+    return ltr.label_histogram(ltr_labels(spark, d))
+
+
+def _ruled(spark, d):
+    q = log_rows(spark, d, "query_text", "total_results").where("query_text is not null")
+    return q.select("log_id", "query_text", ltr.rule(F.col("query_text"), F.coalesce("total_results", F.lit(0))).alias("rule"))
+
+
+def clean_rules(spark, d):
+    return _ruled(spark, d)
+
+
+def removal_reasons(spark, d):
+    return ltr.removal_reasons(_ruled(spark, d))
+
+
+def retention(spark, d):
+    return ltr.retention(_ruled(spark, d))
+
+
+def query_length_distribution(spark, d):
+    q = ltr.length_distribution(_items(spark, d))
+    return q.withColumn("words", F.col("words").cast("long"))
+
+
+def ltr_word_overlap(spark, d):
+    """Distinct words of each evaluation item on the pages that hold its rarest words."""
+    items = _items(spark, d).select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
+    post = _index(spark, d)[1].select("term", "book_id", "page_number")
+    return items.join(post, "term").groupBy("query_id", "book_id", "page_number").agg(F.count("*").alias("overlap")).where("overlap >= 15")
+
+
+# texts
+def extractive_summary(spark, d):
+    return indexable_pages(spark, d).select("page_id", first_sentences("text_content", 3).alias("summary"))
+
+
+def sentence_counts(spark, d):
+    return indexable_pages(spark, d).select("page_id", F.size(sentences("text_content")).cast("long").alias("sentences"))
+
+
+def truncated_text(spark, d):
+    return indexable_pages(spark, d).select("page_id", truncate("text_content", 500).alias("text"))
+
+
+def html_text(spark, d):
+    h = F.concat(F.lit("<html><head><style>p {x: y}</style></head><body><p>"), F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("</p><br/>by&nbsp;<b>"), F.coalesce("author", F.lit("")), F.lit("</b></body></html>"))
+    return table(spark, d, "books").where("title is not null").select("book_id", files.html_text(h).alias("text"))
+
+
+def json_body(spark, d):
+    j = F.when(F.col("log_id") % 10 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("query_text").alias("query"), F.col("total_results").alias("top_k"))))
+    b = log_rows(spark, d, "query_text", "total_results").select("log_id", files.body(j, "query string, top_k int").alias("b"))
+    return b.select("log_id", "b.query", "b.top_k")
+
+
+def chunk_counters(spark, d):
+    c = once(table(spark, d, "page_chunks").select("chunk_id", "book_id"), "chunk_id")
+    return c.agg(F.count("*").alias("chunks"), F.countDistinct("book_id").alias("books"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        p4_found, p4_shares, p4_profile, page_view, book_dim, book_rows, page_with_book, token_positions, posting_lists, term_frequency, doc_length, doc_frequency, corpus_stats, index_counters,
+        query_expansion, bm25_topk, bm25_multi_query, phrase_hits, ordered_span, proximity_boost, term_coverage, ngram_boost, snippet, lexical_rerank, vector_topk, vector_page_maxpool,
+        vector_page_restricted, hybrid_search, clustered_recall, title_resolution, chunk_pages, chunk_sizes, chunk_ids, history_user, admin_logs_page, log_summary, daily_activity, query_frequency,
+        top_results, history_delete, next_id, stream_daily, status_histogram, manifest_sync, sync_summary, backfill, keyed_update, index_remove_books, incremental_reindex, published_index,
+        table_catalogue, ltr_ngrams_top, ltr_query_regen, ltr_labels, ltr_label_histogram, clean_rules, removal_reasons, retention, query_length_distribution, ltr_word_overlap, extractive_summary,
+        sentence_counts, truncated_text, html_text, json_body, chunk_counters,
+    )
+}
