@@ -17,13 +17,13 @@ DIGITS = 64 // BITS
 BROADCAST_ROWS = 200_000
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _double_key(x: pd.Series) -> pd.Series:
     bits = (x.to_numpy(np.float64) + 0.0).view(np.int64)  # + 0.0 makes -0.0 equal to 0.0
     return pd.Series(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _double_value(k: pd.Series) -> pd.Series:
     k = k.to_numpy(np.int64)
     return pd.Series(np.where(k < 0, k ^ np.int64(2**63 - 1), k).view(np.float64))
