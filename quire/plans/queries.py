@@ -250,11 +250,11 @@ def next_id(spark, d):
 
 
 def stream_daily(spark, d):
-    """Daily figures of the log folder read as a stream up to its end."""
+    """Daily figures of the log folder read as a stream up to its end: the days that the watermark has closed."""
     src = table(spark, d, "search_logs")
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     s = daily.log_stream(spark, f"{d}/search_logs.parquet", src.schema)
-    daily.run_available(daily.daily_counts(s, "40 days"), f"{at}/out", f"{at}/cp", "append")
+    daily.run_available(daily.daily_counts(s), f"{at}/out", f"{at}/cp", "append")
     return spark.read.schema("day date, searches long, avg_latency_ms double").parquet(f"{at}/out")
 
 

@@ -174,3 +174,4 @@ SQL: dict[str, str] = {
 }
 SQL["table_catalogue"] = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows, (SELECT string_agg(column_name, ',' ORDER BY rn) FROM (SELECT column_name, row_number() OVER () AS rn FROM (DESCRIBE {t}))) AS columns FROM {t}" for t in ("books", "pages", "page_chunks", "search_logs"))
 SQL["top_results"] = f"WITH {_lg('top_results')}, x AS (SELECT log_id, unnest(top_results[1:5]) AS r, generate_subscripts(top_results[1:5], 1) AS position FROM lg) SELECT log_id, position, r.page_id AS page_id, r.score AS score FROM x"
+SQL["stream_daily"] = f"WITH {_lg('latency_ms', 'created_at')} SELECT created_at::DATE AS day, count(*) AS searches, avg(latency_ms) AS avg_latency_ms FROM lg WHERE created_at IS NOT NULL AND created_at::DATE + 1 <= (SELECT max(created_at) FROM search_logs) - INTERVAL 2 DAY GROUP BY ALL"

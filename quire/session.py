@@ -39,12 +39,18 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: Bytes of a broadcast side, counted as JSON text, that no call exceeds.
+BROADCAST_BYTES = 48 << 20
+
+
 def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint only where a count proves it holds at most ``most_rows`` rows.
+    """``df`` with a broadcast hint only where it is proven to be small.
 
-    Beyond the bound the plain frame comes back and the join shuffles.
+    Proven means counted: at most ``most_rows`` rows and BROADCAST_BYTES. Beyond these bounds the
+    plain frame comes back and the join shuffles.
     """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    n, size = df.limit(most_rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
+    return F.broadcast(df) if n <= most_rows and size <= BROADCAST_BYTES else df
 
 
 def slots(spark: SparkSession) -> int:
