@@ -11,6 +11,9 @@ from ..functions.text import tokens
 from ..session import spread, stage
 from ..sources.tables import logs, once, pages, postings, table
 from . import encoding, garbled, leaks, neardup, neighbours, ngrams, percentiles, pieces, scans
+from .sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 
 # 1: most similar vectors
@@ -134,5 +137,3 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_term_stats, p2_ngrams, p3_found, p3_percentiles, p5_found, p5_pieces, p6_found, p6_groups, p7_found, p7_repaired, p8_ids, p8_decoded, p9_found, p9_leaks, p10_found, p10_restored)
 }
-
-SQL: dict[str, str] = {}
