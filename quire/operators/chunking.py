@@ -27,10 +27,10 @@ def chunk_pages(pages: DataFrame, size_of=chunk_sizes) -> DataFrame:
     give no chunk.
     """
     def cut(w: Column) -> Column:
-        sizes = size_of(F.size(w))
-        return bind(sizes, lambda s: F.transform(s, lambda n, i: F.array_join(F.slice(w, F.aggregate(F.slice(s, 1, i), F.lit(0), lambda a, x: a + x) + 1, n), " ")))
+        return bind(F.col("sizes"), lambda s: F.transform(s, lambda n, i: F.array_join(F.slice(w, F.aggregate(F.slice(s, 1, i), F.lit(0), lambda a, x: a + x) + 1, n), " ")))
 
-    p = pages.where("text_content is not null").select("book_id", "page_id", "page_number", F.posexplode(bind(ws_split("text_content"), cut)).alias("i", "chunk_text"))
+    p = pages.where("text_content is not null").select("book_id", "page_id", "page_number", "text_content", size_of(F.size(ws_split("text_content"))).alias("sizes"))
+    p = p.select("book_id", "page_id", "page_number", F.posexplode(bind(ws_split("text_content"), cut)).alias("i", "chunk_text"))
     return p.select(F.concat_ws("_", "page_id", (F.col("i") + 1).cast("string")).alias("chunk_id"), "book_id", "page_id", "page_number", (F.col("i") + 1).alias("chunk_index"), "chunk_text", F.size(F.split("chunk_text", " ")).alias("word_count"), F.length("chunk_text").alias("char_count"))
 
 

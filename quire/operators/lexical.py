@@ -96,7 +96,7 @@ def top_per_query(scored: DataFrame, score: str, k: int) -> DataFrame:
 
 def remove_books(index: DataFrame, books: DataFrame) -> DataFrame:
     """An index table (docs or postings) without the rows of the given books."""
-    return index.join(small(books.select("book_id").distinct(), QUERY_ROWS), "book_id", "left_anti")
+    return index.join(small(books.select("book_id").distinct(), QUERY_ROWS), "book_id", "left_anti").select(*index.columns)
 
 
 def add_pages(docs: DataFrame, postings: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -168,7 +168,7 @@ SQL: dict[str, str] = {
     "extractive_summary": f"WITH {_DOCS}, s AS (SELECT page_id, text_content, {_SENT} AS s FROM docs) SELECT page_id, CASE WHEN len(s) = 0 THEN substring(array_to_string({_split('text_content')}, ' '), 1, 500) ELSE array_to_string(s[1:3], ' ') END AS summary FROM s",
     "sentence_counts": f"WITH {_DOCS} SELECT page_id, len({_SENT}) AS sentences FROM docs",
     "truncated_text": f"WITH {_DOCS} SELECT page_id, CASE WHEN length(text_content) <= 500 THEN text_content ELSE regexp_replace(substring(text_content, 1, 500), '{_WS}+$', '') || chr(10) || chr(10) || '[Truncated]' END AS text FROM docs",
-    "html_text": "SELECT book_id, regexp_replace(title || chr(10) || chr(10) || 'by ' || coalesce(author, ''), '^\s+|\s+$', '', 'g') AS text FROM books WHERE title IS NOT NULL",
+    "html_text": "SELECT book_id, regexp_replace(title || chr(10) || chr(10) || 'by ' || coalesce(author, ''), '^\\s+|\\s+$', '', 'g') AS text FROM books WHERE title IS NOT NULL",
     "json_body": f"WITH {_lg('query_text', 'total_results')} SELECT log_id, CASE WHEN log_id % 10 <> 0 THEN query_text END AS query, CASE WHEN log_id % 10 <> 0 THEN total_results END AS top_k FROM lg",
     "chunk_counters": "SELECT count(DISTINCT chunk_id) AS chunks, count(DISTINCT book_id) AS books FROM page_chunks",
 }
