@@ -177,7 +177,7 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5)
     # one row per cell, at most CELLS_MOST
     inside = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}
     asked = {r["c"]: r["count"] for r in coded.select(F.explode("probe").alias("c")).groupBy("c").count().collect()}
-    parts = [(int(c), -(-inside[c] // BLOCK), -(-asked.get(c, 0) // BLOCK)) for c in inside if asked.get(c)]
+    parts = [(int(c), -(-inside[c] // BLOCK), max(1, -(-asked.get(c, 0) // BLOCK))) for c in inside]
     grid = F.broadcast(df.sparkSession.createDataFrame(parts, "cell int, ni int, nq int"))
     h = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
     index = coded.join(grid, "cell").select("id", "v", "code", "len", "fix", "cell", h("ni").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
@@ -190,7 +190,13 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5)
     own = stage(look(coded.select("id", "v", F.lit(-2.0).alias("tau"), F.col("probe")[0].alias("cell"))))
     tau = own.groupBy("q").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(-F.col("sim"))).alias("s")).where(F.col("n") >= k).select(F.col("q").alias("id"), (-F.col("s")[k - 1]).alias("tau"))
     more = coded.select("id", "v", "probe").join(tau, "id", "left").select("id", "v", F.coalesce("tau", F.lit(-2.0)).alias("tau"), F.explode(F.slice("probe", 2, ix.probes)).alias("cell"))
-    met = own.unionByName(look(more)) if ix.probes > 1 else own
+    met = stage(own.unionByName(look(more))) if ix.probes > 1 else own
+    # queries whose cells hold too few rows look into every cell
+    few = met.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, n - 1)).select(F.col("q").alias("id"))
+    few = stage(coded.select("id", "v").join(few, "id", "left_anti"))
+    if ix.probes < len(ix.centroids) and few.limit(1).count():
+        ids_few = few.select("id", "v", F.lit(-2.0).alias("tau"), F.explode(F.array(*[F.lit(p[0]) for p in parts])).alias("cell"))
+        met = met.join(few.select(F.col("id").alias("q")), "q", "left_anti").unionByName(look(ids_few))
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).where(F.col("r") <= k).select("q", "id", "sim")
     # the k + 1 best ids of each direction, itself included: bounded by (k + 1)^2 before they are sorted
     ids = reps.select("id", "ids", "dir")
