@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +67,20 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     """
     n = slots(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *key)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context.
+
+    Needed where the executors have no copy of it on their path; Spark serves the archive to them.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_quire_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="quire-code-")) / "quire.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(str(at))
+    sc._quire_shipped = True
