@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import first_sentences, sentences, tokens, trim_ws, truncate, ws_split
 from ..operators import chunking, lexical, logs, ltr, ranking, sync, vectors
 from ..operators.skew import key_shares, salted_aggregate
-from ..session import shared_dir
+from ..session import shared_dir, stage
 from ..sources import files, store
 from ..sources.tables import indexable_pages, once, pages, table
 from ..sources.tables import logs as log_rows
@@ -49,6 +49,12 @@ def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return lexical.build_docs(p), lexical.build_postings(p)
 
 
+def _written_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The index as searches read it: written once, scanned by column."""
+    docs, postings = _index(spark, d)
+    return stage(docs), stage(postings)
+
+
 def page_view(spark, d):
     p = pages(spark, d, "book_id", "page_number", "text_content").where("book_id is not null")
     return chunking.page_rows(p)
@@ -102,7 +108,7 @@ def query_expansion(spark, d):
 
 
 def _bm25(spark, d, queries, k):
-    docs, postings = _index(spark, d)
+    docs, postings = _written_index(spark, d)
     terms = lexical.weighted_terms(lexical.query_tokens(queries))
     return lexical.top_per_query(lexical.bm25(terms, postings, docs), "bm25", k).select("query_id", F.col("rank").cast("long").alias("rank"), "book_id", "page_number", F.round("bm25", 6).alias("bm25"))
 
@@ -116,7 +122,7 @@ def bm25_multi_query(spark, d):
 
 
 def _features(spark, d):
-    docs, postings = _index(spark, d)
+    docs, postings = _written_index(spark, d)
     q = _queries(spark)
     cands = lexical.top_per_query(lexical.bm25(lexical.weighted_terms(lexical.query_tokens(q)), postings, docs), "bm25", 250).drop("rank")
     return ranking.features(cands, q, postings, docs)
@@ -147,7 +153,7 @@ def snippet(spark, d):
 
 
 def lexical_rerank(spark, d):
-    docs, postings = _index(spark, d)
+    docs, postings = _written_index(spark, d)
     return ranking.hybrid(_queries(spark), postings, docs, None, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "book_id", "page_number", "score", "lexical")
 
 
@@ -159,7 +165,7 @@ def _query_vectors(chunks: DataFrame) -> DataFrame:
 
 
 def _semantic(spark, d):
-    c = vectors.unit_chunks(table(spark, d, "chunk_vectors"))
+    c = stage(vectors.unit_chunks(table(spark, d, "chunk_vectors")))
     return vectors.scores(_query_vectors(c), c)
 
 
@@ -178,14 +184,14 @@ def vector_page_restricted(spark, d):
 
 def hybrid_search(spark, d):
     """The flagship: every query fused from its lexical and vector candidates in one plan."""
-    docs, postings = _index(spark, d)
+    docs, postings = _written_index(spark, d)
     sem = vectors.top_pages(vectors.page_max(_semantic(spark, d)), 300).select("query_id", "book_id", "page_number", "semantic", "hint")
     return ranking.hybrid(_queries(spark), postings, docs, sem, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "book_id", "page_number", "page_id", "score", "lexical", "semantic")
 
 
 def clustered_recall(spark, d):
     """(query_id, hits): how many of the 10 best chunks the clustered search finds."""
-    c = vectors.unit_chunks(table(spark, d, "chunk_vectors"))
+    c = stage(vectors.unit_chunks(table(spark, d, "chunk_vectors")))
     q = _query_vectors(c)
     exact = vectors.top_chunks(vectors.scores(q, c), 10).select("query_id", "chunk_id")
     n = c.count()
