@@ -72,3 +72,19 @@ def book_rows(df: DataFrame) -> DataFrame:
     """Book rows with the builder's defaults: Untitled, title.pdf, book_001.pdf."""
     title = or_default("title", "Untitled")
     return df.select("book_id", title.alias("title"), or_default("domain", "Library").alias("domain"), F.coalesce(F.nullif("file_name", F.lit("")), F.concat(title, F.lit(".pdf"))).alias("file_name"), F.format_string("book_%03d.pdf", "book_id").alias("stored_file_name"), "num_pages")
+
+
+def library_path(path: Column, root: str = "backend-library/books") -> Column:
+    """A stored path below ``root``: backslashes turned, a leading ``root`` or ``books`` taken off, doubled slashes closed; null for an empty path."""
+    p = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), f"^({root}|books)/", "")
+    return F.when(F.length(F.coalesce(path, F.lit(""))) > 0, F.replace(F.concat(F.lit(f"{root}/"), p), F.lit("//"), F.lit("/")))
+
+
+def uploads(files: DataFrame, first_id: int = 1) -> DataFrame:
+    """Book rows of uploaded files (path, length): ids from ``first_id`` in path order, stored names, sizes in MB."""
+    from .sync import numbered
+
+    n = numbered(files.select("path", "length"), ["path"])
+    name = F.element_at(F.split("path", "/"), -1)
+    book = (F.col("row_id") + first_id - 1).cast("int")
+    return n.select(book.alias("book_id"), F.regexp_replace(name, r"\.[^.]*$", "").alias("title"), name.alias("file_name"), F.format_string("book_%03d.pdf", book).alias("stored_file_name"), F.round(F.col("length") / 1048576.0, 2).alias("file_size_mb"), F.lit("uploaded").alias("status"))

@@ -62,3 +62,29 @@ def without(logs: DataFrame, user: int, log_id: int | None = None) -> tuple[Data
 def next_id(df: DataFrame, key: str) -> DataFrame:
     """One row (next_id): the largest key plus one, 1 for an empty table."""
     return df.agg((F.coalesce(F.max(key), F.lit(0)) + 1).cast("long").alias("next_id"))
+
+
+def log_rows(queries: DataFrame, results: DataFrame, latency_ms: Column, first: int = 5) -> DataFrame:
+    """Rows to append to the logs: (query_id, query_text, normalized_query, total_results, top_results, latency_ms).
+
+    ``results`` (query_id, rank, book_id, page_id, page_number, score) are the rows of a search; a
+    query without results gets 0 and an empty list.
+    """
+    from ..functions.text import tokens
+
+    entry = F.struct("rank", F.struct("book_id", "page_id", "page_number", "score").alias("r"))
+    per = results.groupBy("query_id").agg(F.count("*").cast("int").alias("n"), F.transform(F.slice(F.array_sort(F.collect_list(entry)), 1, first), lambda x: x["r"]).alias("top"))
+    x = queries.join(per, "query_id", "left")
+    empty = F.array().cast("array<struct<book_id:int,page_id:string,page_number:int,score:double>>")
+    return x.select("query_id", F.col("query").alias("query_text"), tokens("query").alias("normalized_query"), F.coalesce("n", F.lit(0)).alias("total_results"), F.coalesce("top", empty).alias("top_results"), latency_ms.cast("int").alias("latency_ms"))
+
+
+def bars(daily_rows: DataFrame, value: str = "searches") -> DataFrame:
+    """Adds ``bar``: the height in per cent of the largest value, 6 at least."""
+    most = daily_rows.agg(F.max(value).alias("m"))  # one row
+    return daily_rows.join(F.broadcast(most)).withColumn("bar", F.greatest(F.lit(6), F.round(F.coalesce(F.try_divide(F.col(value), F.col("m")), F.lit(0.0)) * 100).cast("int"))).drop("m")
+
+
+def page_count(df: DataFrame, size: int = 10) -> DataFrame:
+    """One row (rows, pages): pages of ``size`` rows, one at least."""
+    return df.agg(F.count("*").alias("rows")).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("rows") / size)).cast("long"))

@@ -186,3 +186,15 @@ def compare_by_row(before: DataFrame, after: DataFrame, key: str, col: str) -> D
     """One row (rows, changed): rows of the same key whose value differs, null-safe."""
     b = after.select(key, F.col(col).alias("_b"))
     return before.select(key, F.col(col).alias("_a")).join(b, key).agg(F.count("*").alias("rows"), F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("changed"))
+
+
+def dataset_slice(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in a stated order, by global row numbers."""
+    from .sync import numbered
+
+    return numbered(rows, order, "row_id").where(F.col("row_id") <= n)
+
+
+def regeneration_report(rows: DataFrame) -> DataFrame:
+    """One row (rows, changed, avg_words) of rows (query, new_query)."""
+    return rows.agg(F.count("*").alias("rows"), F.count_if(~F.col("query").eqNullSafe(F.col("new_query"))).alias("changed"), F.round(F.avg(F.size(F.split("new_query", " "))), 2).alias("avg_words"))

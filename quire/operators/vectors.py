@@ -94,6 +94,29 @@ def clustered_search(chunks: DataFrame, queries: DataFrame, k: int, cells: int,
     return top_chunks(met, k)
 
 
+def search(chunks: DataFrame, queries: DataFrame, k: int, probes: int = 16) -> DataFrame:
+    """Top k chunks of each query: exact for fewer than EXACT_BELOW chunks, by cells beyond."""
+    n = chunks.count()
+    return top_chunks(scores(queries, chunks), k) if n < EXACT_BELOW else clustered_search(chunks, queries, k, clusters(n), probes)
+
+
+def build(pages: DataFrame, titles: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> tuple[DataFrame, DataFrame]:
+    """Chunk vectors of all pages, and a row (chunks, pages, outcome).
+
+    chunk_id counts from 1 in the order of book, page and chunk. The outcome is "built", or why
+    there is nothing to build: "no text", "no chunks".
+    """
+    from .chunking import chunk_pages
+    from .sync import numbered, resolve_titles
+
+    chunks = chunk_pages(pages)
+    ids = numbered(chunks.select("book_id", "page_number", "chunk_index", "chunk_text"), ["book_id", "page_number", "chunk_index"], "chunk_id")
+    names = resolve_titles(ids.select("book_id", "page_number").distinct(), titles.select("book_id", "title"), titles).select("book_id", "page_number", F.col("title").alias("book_name"))
+    out = embed(ids.join(names, ["book_id", "page_number"], "left"), "chunk_text", "embedding", load).select("chunk_id", "book_id", "book_name", "page_number", "chunk_index", "chunk_text", "embedding")
+    n = ids.agg(F.count("*").alias("chunks"), F.countDistinct("book_id", "page_number").alias("pages")).join(pages.agg(F.count_if(F.length(F.coalesce("text_content", F.lit(""))) > 0).alias("texts")))
+    return out, n.select("chunks", "pages", F.when(F.col("texts") == 0, "no text").when(F.col("chunks") == 0, "no chunks").otherwise("built").alias("outcome"))
+
+
 def embed(df: DataFrame, text: str, out: str, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
     """Adds vectors of a text column by a model that ``load`` makes once per worker; null texts are embedded as ''."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_sentences, sentences, tokens, trim_ws, truncate, ws_split
-from ..operators import chunking, lexical, logs, ltr, ranking, sync, vectors
+from ..operators import chunking, lexical, logs, ltr, ranking, summaries, sync, vectors
 from ..operators.skew import key_shares, salted_aggregate
 from ..session import shared_dir, stage
 from ..sources import files, store
@@ -404,6 +404,47 @@ def chunk_counters(spark, d):
     return c.agg(F.count("*").alias("chunks"), F.countDistinct("book_id").alias("books"))
 
 
+def page_summaries(spark, d):
+    x = summaries.summarise(indexable_pages(spark, d), 3, lambda texts: [t.upper() if len(t) % 2 else "" for t in texts], "upper")
+    return x.withColumns({c: F.col(c).cast("long") for c in ("sentence_count", "source_sentence_count")})
+
+
+def library_paths(spark, d):
+    return table(spark, d, "books").select("book_id", chunking.library_path(F.concat(F.lit("books/"), "stored_file_name")).alias("path"), chunking.library_path(F.replace("file_path", F.lit("/"), F.lit("\\"))).alias("turned"))
+
+
+def activity_bars(spark, d):
+    return logs.bars(daily_activity(spark, d))
+
+
+def log_pages(spark, d):
+    return logs.page_count(log_rows(spark, d), 10)
+
+
+def search_log_entries(spark, d):
+    docs, postings = _written_index(spark, d)
+    r = ranking.hybrid(_queries(spark), postings, docs, None, 10)
+    x = logs.log_rows(_queries(spark), r, F.lit(12))
+    return x.select("query_id", F.array_join("normalized_query", " ").alias("normalized"), F.col("total_results").cast("long").alias("total_results"), F.size("top_results").cast("long").alias("kept"), F.col("top_results")[0]["page_id"].alias("best"))
+
+
+def dataset_slice(spark, d):
+    q = log_rows(spark, d, "query_text").where("query_text is not null")
+    return ltr.dataset_slice(q, ["log_id"], 900).select("row_id", "log_id", "query_text")
+
+
+def regeneration_report(spark, d):
+    p = indexable_pages(spark, d).select(trim_ws(F.substring("text_content", 1, 40)).alias("query"), ltr.regenerated_query(trim_ws(F.substring("text_content", 1, 200))).alias("new_query"))
+    return ltr.regeneration_report(p)
+
+
+def daily_trend(spark, d):
+    """Searches of every day with those of the day before and a weekly running mean."""
+    per = log_rows(spark, d, "created_at").where("created_at is not null").groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("searches"))
+    w = Window.orderBy("day")  # one row per day
+    return per.select("day", "searches", F.lag("searches").over(w).alias("before"), F.round(F.avg("searches").over(w.rowsBetween(-6, 0)), 6).alias("week_mean"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -412,6 +453,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vector_page_restricted, hybrid_search, clustered_recall, title_resolution, chunk_pages, chunk_sizes, chunk_ids, history_user, admin_logs_page, log_summary, daily_activity, query_frequency,
         top_results, history_delete, next_id, stream_daily, status_histogram, manifest_sync, sync_summary, backfill, keyed_update, index_remove_books, incremental_reindex, published_index,
         table_catalogue, ltr_ngrams_top, ltr_query_regen, ltr_labels, ltr_label_histogram, clean_rules, removal_reasons, retention, query_length_distribution, ltr_word_overlap, extractive_summary,
-        sentence_counts, truncated_text, html_text, json_body, chunk_counters,
+        sentence_counts, truncated_text, html_text, json_body, chunk_counters, page_summaries, library_paths, activity_bars, log_pages, search_log_entries, dataset_slice, regeneration_report,
+        daily_trend,
     )
 }

@@ -170,3 +170,38 @@ def test_labels(spark):
         assert (r.relevance_label == 2) == (r.page_id == r.source_page_id)
         assert r.relevance_label == 0 or r.book_id == int(r.source_page_id.split("_")[0])
     assert all(len(x) <= 10 and sum(r.relevance_label == 1 for r in x) <= 4 and sum(r.relevance_label == 2 for r in x) == 1 for x in by.values())
+
+
+def test_summaries_fall_back(spark):
+    from quire.operators import summaries
+
+    p = spark.createDataFrame([("1", 1, "i", "One. Two. Three. Four."), ("2", 1, None, None), ("3", 1, None, "no end")], "page_id string, book_id int, display_page_number string, text_content string")
+    own = {r.page_id: r for r in summaries.summarise(p, 2).collect()}
+    assert own["1"].summary == "One. Two." and own["1"].source_sentence_count == 4 and own["2"].summary == "" and own["3"].summary == "no end"
+
+    def broken(texts):
+        raise RuntimeError
+
+    assert {r.provider for r in summaries.summarise(p, 2, broken).collect()} == {"extractive"}
+    said = {r.page_id: r for r in summaries.summarise(p, 1, lambda t: ["A  b. C d."] * len(t), "x", "{max_sentences}: {text}").collect()}
+    assert said["1"].summary == "A b." and said["1"].provider == "x"
+    with pytest.raises(ValueError):
+        summaries.prompt(" ", F.lit(""), 1)
+
+
+def test_uploads_and_paths(spark):
+    from quire.operators import chunking
+
+    f = spark.createDataFrame([("/x/b.pdf", 3 << 20), ("/x/a.pdf", 100)], "path string, length long")
+    rows = chunking.uploads(f, 7).orderBy("book_id").collect()
+    assert [(r.book_id, r.title, r.stored_file_name, r.file_size_mb) for r in rows] == [(7, "a", "book_007.pdf", 0.0), (8, "b", "book_008.pdf", 3.0)]
+    d = spark.createDataFrame([("books\\a.pdf",), ("backend-library/books//b.pdf",), ("",), (None,)], "p string")
+    assert [r[0] for r in d.select(chunking.library_path(F.col("p"))).collect()] == ["backend-library/books/a.pdf", "backend-library/books/b.pdf", None, None]
+
+
+def test_vector_index_build(spark):
+    p = spark.createDataFrame([(1, "1_1", 1, "a b c"), (1, "1_2", 2, " ")], "book_id int, page_id string, page_number int, text_content string")
+    t = spark.createDataFrame([(1, "T")], "book_id int, title string")
+    out, n = vectors.build(p, t, lambda: lambda texts: [[1.0, 2.0] for _ in texts])
+    assert [(r.chunk_id, r.book_name, r.embedding) for r in out.collect()] == [(1, "T", [1.0, 2.0])] and tuple(n.first()) == (1, 1, "built")
+    assert vectors.build(p.limit(0), t, lambda: lambda texts: [])[1].first().outcome == "no text"
