@@ -74,7 +74,7 @@ def book_rows(df: DataFrame) -> DataFrame:
     return df.select("book_id", title.alias("title"), or_default("domain", "Library").alias("domain"), F.coalesce(F.nullif("file_name", F.lit("")), F.concat(title, F.lit(".pdf"))).alias("file_name"), F.format_string("book_%03d.pdf", "book_id").alias("stored_file_name"), "num_pages")
 
 
-def library_path(path: Column, root: str = "backend-library/books") -> Column:
+def library_path(path: Column, root: str = "library/books") -> Column:
     """A stored path below ``root``: backslashes turned, a leading ``root`` or ``books`` taken off, doubled slashes closed; null for an empty path."""
     p = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), f"^({root}|books)/", "")
     return F.when(F.length(F.coalesce(path, F.lit(""))) > 0, F.replace(F.concat(F.lit(f"{root}/"), p), F.lit("//"), F.lit("/")))

@@ -176,7 +176,7 @@ SQL["table_catalogue"] = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS
 SQL["top_results"] = f"WITH {_lg('top_results')}, x AS (SELECT log_id, unnest(top_results[1:5]) AS r, generate_subscripts(top_results[1:5], 1) AS position FROM lg) SELECT log_id, position, r.page_id AS page_id, r.score AS score FROM x"
 SQL["stream_daily"] = f"WITH {_lg('latency_ms', 'created_at')} SELECT created_at::DATE AS day, count(*) AS searches, avg(latency_ms) AS avg_latency_ms FROM lg WHERE created_at IS NOT NULL AND created_at::DATE + 1 <= (SELECT max(created_at) FROM search_logs) - INTERVAL 2 DAY GROUP BY ALL"
 SQL["page_summaries"] = f"WITH {_DOCS}, s AS (SELECT *, {_SENT} AS s, array_to_string({_split('text_content')}, ' ') AS c, CASE WHEN length(text_content) <= 12000 THEN text_content ELSE regexp_replace(substring(text_content, 1, 12000), '{_WS}+$', '') || chr(10) || chr(10) || '[Truncated]' END AS t FROM docs), u AS (SELECT *, list_filter(string_split(regexp_replace(array_to_string({_split('upper(t)')}, ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS us, array_to_string({_split('upper(t)')}, ' ') AS uc FROM s), r AS (SELECT *, length(t) % 2 = 1 AS said, CASE WHEN length(t) % 2 = 1 THEN CASE WHEN len(us) <= 3 THEN uc ELSE array_to_string(us[1:3], ' ') END ELSE array_to_string(s[1:3], ' ') END AS summary FROM u) SELECT page_id, book_id, display_page_number, CASE WHEN said THEN 'upper' ELSE 'extractive' END AS provider, summary, CASE WHEN said THEN least(3, len(us)) ELSE least(3, len(s)) END AS sentence_count, len(s) AS source_sentence_count FROM r"
-SQL["library_paths"] = "SELECT book_id, 'backend-library/books/' || stored_file_name AS path, 'backend-library/books/' || file_path AS turned FROM books"
+SQL["library_paths"] = "SELECT book_id, 'library/books/' || stored_file_name AS path, 'library/books/' || file_path AS turned FROM books"
 SQL["activity_bars"] = f"WITH d AS ({SQL['daily_activity']}) SELECT *, greatest(6, round(searches * 100.0::DOUBLE / (SELECT max(searches) FROM d)))::INT AS bar FROM d"
 SQL["log_pages"] = "SELECT count(DISTINCT log_id) AS rows, greatest(1, ceil(count(DISTINCT log_id) / 10))::BIGINT AS pages FROM search_logs"
 SQL["search_log_entries"] = f"WITH h AS ({SQL['lexical_rerank']}), {_Q} SELECT q.query_id, array_to_string({_tok('query')}, ' ') AS normalized, count(h.rank) AS total_results, least(5, count(h.rank)) AS kept, min(book_id || '_' || page_number) FILTER (h.rank = 1) AS best FROM q LEFT JOIN h ON h.query_id = q.query_id GROUP BY q.query_id, query"

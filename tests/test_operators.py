@@ -195,8 +195,8 @@ def test_uploads_and_paths(spark):
     f = spark.createDataFrame([("/x/b.pdf", 3 << 20), ("/x/a.pdf", 100)], "path string, length long")
     rows = chunking.uploads(f, 7).orderBy("book_id").collect()
     assert [(r.book_id, r.title, r.stored_file_name, r.file_size_mb) for r in rows] == [(7, "a", "book_007.pdf", 0.0), (8, "b", "book_008.pdf", 3.0)]
-    d = spark.createDataFrame([("books\\a.pdf",), ("backend-library/books//b.pdf",), ("",), (None,)], "p string")
-    assert [r[0] for r in d.select(chunking.library_path(F.col("p"))).collect()] == ["backend-library/books/a.pdf", "backend-library/books/b.pdf", None, None]
+    d = spark.createDataFrame([("books\\a.pdf",), ("library/books//b.pdf",), ("",), (None,)], "p string")
+    assert [r[0] for r in d.select(chunking.library_path(F.col("p"))).collect()] == ["library/books/a.pdf", "library/books/b.pdf", None, None]
 
 
 def test_vector_index_build(spark):
