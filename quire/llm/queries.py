@@ -96,6 +96,9 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
 # 7: scanned pages
 def _repaired(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d, "book_id", "page_number", "display_page_number", "text_content")
+    # a page without a book says in its page_id, book and page number, where it is from
+    part = lambda n: F.regexp_extract("page_id", r"^(\d{1,9})_(\d{1,9})$", n).try_cast("int")
+    p = p.withColumns({"book_id": F.coalesce("book_id", part(1)), "page_number": F.coalesce("page_number", part(2))})
     return scans.repair_pages(p, table(spark, d, "books"))
 
 
