@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -31,12 +32,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_staged: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables staged so far; results that were not written yet can't be read after it."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _staged:
+        p = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        n += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+    return n
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and _staged:
+            release(spark)
+    except Exception:  # the JVM may be gone
+        pass
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
-    Unlike :func:`cut` later reads prune columns and push filters; it survives lost executors.
+    Unlike :func:`cut` later reads prune columns and push filters; it survives lost executors. The
+    table stays until :func:`release`, or until the driver's process ends.
     """
     at = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    _staged.append(at)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 

@@ -41,7 +41,18 @@ def test_small_is_a_checked_broadcast(spark):
     d = spark.range(100)
     hint = lambda x: "ResolvedHint" in x._jdf.queryExecution().analyzed().toString() or "strategy=broadcast" in x._jdf.queryExecution().analyzed().toString()
     assert hint(small(d, 100)) and not hint(small(d, 99))
-    assert stage(d).count() == 100
+    kept = stage(d)
+    assert kept.count() == 100
+
+
+def test_released_tables_are_gone(spark):
+    from quire import session
+
+    df = stage(spark.range(3))
+    at = session._staged[-1]
+    assert df.count() == 3 and session.release(spark) >= 1 and not session._staged
+    with pytest.raises(Exception):
+        spark.read.parquet(at).count()
 
 
 def test_log_summary_of_nothing(spark):
