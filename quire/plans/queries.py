@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import first_sentences, sentences, tokens, trim_ws, truncate, ws_split
 from ..operators import chunking, lexical, logs, ltr, ranking, summaries, sync, vectors
 from ..operators.skew import key_shares, salted_aggregate
-from ..session import shared_dir, stage
+from ..session import scratch, stage
 from ..sources import files, store
 from ..sources.tables import indexable_pages, once, pages, table
 from ..sources.tables import logs as log_rows
@@ -258,7 +257,7 @@ def next_id(spark, d):
 def stream_daily(spark, d):
     """Daily figures of the log folder read as a stream up to its end: the days that the watermark has closed."""
     src = table(spark, d, "search_logs")
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     s = daily.log_stream(spark, f"{d}/search_logs.parquet", src.schema)
     daily.run_available(daily.daily_counts(s), f"{at}/out", f"{at}/cp", "append")
     return spark.read.schema("day date, searches long, avg_latency_ms double").parquet(f"{at}/out")
@@ -313,7 +312,7 @@ def incremental_reindex(spark, d):
 def published_index(spark, d):
     """The index written as one version and read back."""
     docs, postings = _index(spark, d)
-    root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    root = scratch(spark, "index")
     store.publish(spark, root, {"docs": docs, "postings": postings})
     return store.read(spark, root, "postings").groupBy("book_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
 

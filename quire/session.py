@@ -44,6 +44,13 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder that :func:`release` deletes."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append(at)
+    return at
+
+
 @atexit.register
 def _release_at_exit() -> None:
     try:
@@ -60,8 +67,7 @@ def stage(df: DataFrame) -> DataFrame:
     Unlike :func:`cut` later reads prune columns and push filters; it survives lost executors. The
     table stays until :func:`release`, or until the driver's process ends.
     """
-    at = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    _staged.append(at)
+    at = scratch(df.sparkSession, "stage")
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
