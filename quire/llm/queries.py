@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import spread, stage
-from ..sources.tables import logs, once, pages, postings, table
+from ..sources.tables import logs, pages, postings, table
 from . import encoding, garbled, leaks, neardup, neighbours, ngrams, percentiles, pieces, scans
 from .sql import SQL
 
