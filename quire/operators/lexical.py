@@ -80,10 +80,10 @@ def bm25(terms: DataFrame, postings: DataFrame, docs: DataFrame) -> DataFrame:
     so only postings of query terms go on; their df comes from the same rows.
     """
     asked = small(terms, QUERY_ROWS)
-    stats = F.broadcast(corpus_stats(docs))  # one row
+    stats = corpus_stats(docs).first()
     hit = postings.select("term", *DOC, "tf").join(small(terms.select("term").distinct(), QUERY_ROWS), "term", "left_semi")
-    idf = document_frequency(hit).join(stats).select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"), "avg_dl")
-    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    idf = document_frequency(hit).select("term", F.log((F.lit(stats.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats.avg_dl or 1.0)))
     scored = hit.join(small(idf, QUERY_ROWS), "term").join(docs.select(*DOC, "dl"), DOC).select("term", *DOC, (F.col("idf") * norm).alias("s"))
     return scored.join(asked, "term").groupBy("query_id", *DOC).agg(F.round(F.sum(F.col("weight") * F.col("s")), 9).alias("bm25"))
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 #: A key is heavy when it holds at least one in HEAVY_PARTS rows, so there are at most HEAVY_PARTS heavy keys.
 HEAVY_PARTS = 100
 
@@ -60,10 +62,9 @@ def salted_aggregate(df: DataFrame, key: str, aggs: dict[str, tuple[str, str]],
 def key_shares(df: DataFrame, key: str, item: str) -> DataFrame:
     """(key, n, share) of the distinct items of each key; rows with a null key are left out of both sides."""
     d = df.select(F.col(key).alias("k"), F.col(item).alias("i")).where(F.col("k").isNotNull()).dropDuplicates(["i", "k"])
-    per = salted_aggregate(d, "k", {"n": ("count", "*")}, salt_by="i")
-    total = per.agg(F.sum("n").alias("total"))
-    # one row: the total is an aggregate without keys
-    return per.join(F.broadcast(total)).select(F.col("k").alias(key), "n", (F.col("n") / F.col("total")).alias("share"))
+    per = stage(salted_aggregate(d, "k", {"n": ("count", "*")}, salt_by="i"))
+    total = per.agg(F.sum("n")).first()[0] or 1
+    return per.select(F.col("k").alias(key), "n", (F.col("n") / F.lit(total)).alias("share"))
 
 
 def salted_join(big: DataFrame, other: DataFrame, key: str, salt_by: str, salts: int = 16, how: str = "inner", heavy: list | None = None) -> DataFrame:

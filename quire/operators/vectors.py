@@ -83,10 +83,9 @@ def clustered_search(chunks: DataFrame, queries: DataFrame, k: int, cells: int,
 
     sample = chunks.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(TRAIN_ROWS).select(array_to_vector("vec").alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(sample)
+    placed = model.transform(chunks.select("chunk_id", array_to_vector("vec").alias("features"))).select("chunk_id", F.col("prediction").alias("cell"))
+    # at most CLUSTERS_MOST centres, and the stated queries
     cell = chunks.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, center array<double>")
-    near = F.aggregate(F.zip_with("vec", "center", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    # at most CLUSTERS_MOST centres
-    placed = chunks.join(F.broadcast(cell)).groupBy("chunk_id").agg(F.min_by("cell", F.struct(near, "cell")).alias("cell"))
     far = F.aggregate(F.zip_with("qvec", "center", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     w = Window.partitionBy("query_id").orderBy("d", "cell")
     probed = queries.join(F.broadcast(cell)).select("query_id", "qvec", "cell", far.alias("d")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= probes).drop("d", "r")
