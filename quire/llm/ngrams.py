@@ -100,9 +100,8 @@ def posting_counts(postings: DataFrame) -> DataFrame:
     return interval_counts(s, 1).select(F.col("ngram").alias("term"), "occurrences", "records")
 
 
-def marked(counts: DataFrame, n_records: DataFrame, rare_most: int = RARE_MOST, common_share: float = COMMON_SHARE) -> DataFrame:
-    """Adds ``marks``: rare and common, either, both or none. ``n_records`` has one row and column ``n_records``."""
+def marked(counts: DataFrame, n_records: int, rare_most: int = RARE_MOST, common_share: float = COMMON_SHARE) -> DataFrame:
+    """Adds ``marks``: rare and common, either, both or none, for a collection of ``n_records`` records."""
     rare = F.when(F.col("occurrences") <= rare_most, F.lit("rare"))
-    common = F.when(F.col("records") >= common_share * F.col("n_records"), F.lit("common"))
-    # n_records is one row by construction: an aggregate without keys
-    return counts.join(F.broadcast(n_records)).withColumn("marks", F.array_compact(F.array(rare, common))).drop("n_records")
+    common = F.when(F.col("records") >= F.lit(common_share * n_records), F.lit("common"))
+    return counts.withColumn("marks", F.array_compact(F.array(rare, common)))

@@ -15,6 +15,8 @@ BITS = 16
 DIGITS = 64 // BITS
 #: Rows up to which the followed prefixes are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Most different percentiles of one call.
+PERCENTILES_MOST = 1000
 
 
 @F.pandas_udf(T.LongType())
@@ -68,6 +70,9 @@ def radix_percentiles(df: DataFrame, base: str, value: str, periods: DataFrame,
     real = F.col(value).isNotNull() if isinstance(df.schema[value].dataType, T.IntegralType) else F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     values = stage(df.where(real & F.col(base).isNotNull()).select(F.col(base).alias("base"), order_key(df, value).alias("key")))
     periods = periods.select("base", "grain", "period")
+    wanted = [r["pct"] for r in pcts.select("pct").where("pct is not null").distinct().orderBy("pct").limit(PERCENTILES_MOST + 1).collect()]
+    if not 1 <= len(wanted) <= PERCENTILES_MOST:
+        raise ValueError(f"one to {PERCENTILES_MOST} percentiles, please")
     targets: DataFrame | None = None
     for d in range(1, DIGITS + 1):
         followed = targets and targets.join(periods, ["grain", "period"]).select("base", "q").distinct()
@@ -76,8 +81,7 @@ def radix_percentiles(df: DataFrame, base: str, value: str, periods: DataFrame,
             merged = stage(merged)
             total = merged.groupBy("grain", "period").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
             rank = F.greatest(F.lit(1), F.ceil(F.col("pct").cast("double") * F.col("total") / 100)).cast("long")
-            # pcts is the short list of wanted percentiles, its size is checked
-            targets = total.join(small(pcts.select("pct").where("pct is not null").distinct(), 1000)).select("grain", "period", "pct", "total", rank.alias("rank"))
+            targets = total.withColumn("pct", F.explode(F.array(*map(F.lit, wanted)))).select("grain", "period", "pct", "total", rank.alias("rank"))
             at = merged.join(targets, ["grain", "period"])
         else:
             at = merged.withColumn("q", F.shiftright("p", BITS)).join(targets, ["grain", "period", "q"])

@@ -28,7 +28,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 # 2: frequency of every term
 def p2_terms(spark: SparkSession, d: str) -> DataFrame:
     counts = ngrams.posting_counts(postings(spark, d))
-    n = table(spark, d, "postings").select("book_id", "page_number").distinct().agg(F.count("*").alias("n_records"))
+    n = table(spark, d, "postings").select("book_id", "page_number").distinct().count()
     return ngrams.marked(counts, n)
 
 
