@@ -107,7 +107,8 @@ def query_expansion(spark, d):
 
 
 def _bm25(spark, d, queries, k):
-    docs, postings = _written_index(spark, d)
+    docs, postings = _index(spark, d)
+    docs, postings = stage(docs.select("book_id", "page_number", "dl")), stage(postings.select("term", "book_id", "page_number", "tf"))
     terms = lexical.weighted_terms(lexical.query_tokens(queries))
     return lexical.top_per_query(lexical.bm25(terms, postings, docs), "bm25", k).select("query_id", F.col("rank").cast("long").alias("rank"), "book_id", "page_number", F.round("bm25", 6).alias("bm25"))
 
