@@ -275,6 +275,17 @@ def test_garbled_texts(spark):
     assert garbled.garbled(d.limit(0), "w", "back").count() == 0
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_garbled_text_that_holds_most_rows(spark, near):
+    rows = [(i, CLEAN[i % len(CLEAN)] + f" {i}.") for i in range(60)]
+    wrong = CLEAN[0].encode().decode("cp1252")
+    bad = [(1000 + i, wrong + (f" {i}." if near else ".")) for i in range(600)]
+    d = spark.createDataFrame(rows + bad, "w long, back string")
+    assert {r.w for r in garbled.garbled(d, "w", "back").collect()} == {k for k, _ in bad}
+    got = {r.w: r.back for r in garbled.restore(d, "w", "back").collect()}
+    assert all(got[k].startswith(CLEAN[0]) for k, _ in bad)
+
+
 @given(st.text(max_size=30), st.sampled_from(garbled.READ))
 @settings(max_examples=200, deadline=None)
 def test_undo_of_utf8(text, read):
