@@ -212,6 +212,22 @@ def test_page_repair(spark):
     assert scans.repair_pages(p.limit(0), spark.createDataFrame([], "book_id int, title string")).count() == 0
 
 
+def test_misread_words_at_any_frequency(spark):
+    words = [("links", 400), ("hnks", 20), ("linear", 300), ("hnear", 3), ("substring", 90), ("substrmg", 9), ("minimal", 80), ("miriimal", 5), ("the", 5000), ("heap", 200), ("stack", 60), ("limit", 50), ("linits", 40)]
+    got = {r.w: r.cands[0] for r in scans.misread_words(spark.createDataFrame(words, "w string, df long")).collect()}
+    assert got == {"hnks": "links", "hnear": "linear", "substrmg": "substring", "miriimal": "minimal"}
+
+
+def test_copies_of_a_page_do_not_make_its_misreadings_frequent(spark):
+    r = random.Random(9)
+    say = lambda: " ".join(r.choice("every theorem bounds the vector and kernel".split()) for _ in range(25))
+    rows = [(f"p{n}", 1, n, None, say()) for n in range(60)] + [(f"c{n}", 1, 100 + n, None, "every thcorem bounds the kernel.") for n in range(30)]
+    p = spark.createDataFrame(rows, "page_id string, book_id int, page_number int, display_page_number string, text_content string")
+    got = {x.page_id: x for x in scans.repair_pages(p, spark.createDataFrame([], "book_id int, title string")).collect()}
+    assert all(got[f"c{n}"].kinds == ["misread"] and got[f"c{n}"].text == "every theorem bounds the kernel." for n in range(30))
+    assert all(got[f"p{n}"].kinds == [] for n in range(60))
+
+
 @pytest.mark.parametrize("line, page, yes", [("12", 12, True), ("13", 12, False), ("- 7 -", 12, True), ("Page 3 of 900", 12, True), ("p. 12", 12, True), ("[12]", 12, True), ("xii", 12, True), ("l2", 12, True), ("12.", 12, False), ("12  40", 12, False), ("heap", 12, False)])
 def test_page_numbers(line, page, yes):
     assert scans._is_number(line, page, None) == yes
