@@ -185,6 +185,13 @@ def test_components_of_a_long_chain(spark):
     assert {r.cls for r in neardup.components(m, e).collect()} == {0}
 
 
+def test_components_of_a_shuffled_chain(spark):
+    ids = random.Random(11).sample(range(-(10**12), 10**12), 501)
+    m = spark.createDataFrame([(i,) for i in ids], "rid long")
+    e = spark.createDataFrame([(min(x), max(x)) for x in zip(ids[:500], ids[1:500])], "a long, b long")
+    assert {r.rid: r.cls for r in neardup.components(m, e).collect()} == {i: min(ids[:500]) for i in ids[:500]} | {ids[500]: ids[500]}
+
+
 # 7
 def test_page_repair(spark):
     r = random.Random(6)
