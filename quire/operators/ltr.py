@@ -80,9 +80,12 @@ def labelled(queries: DataFrame, pages: DataFrame, same: int = 4, total: int = 1
 
     Label 2 is the source page, 1 up to ``same`` pages of its book that share a word with the query,
     0 pages of other books to fill ``total``. Candidates are drawn by a seeded hash. Pages of one book
-    meet by shared words, not in pairs; those of other books come from ``total`` hash buckets of
-    the page table, so no query meets all pages.
+    meet by shared words, not in pairs. Pages are numbered by book, so the pages of other books are
+    the numbers before and after those of the query's own; each query draws hashed ones of these and
+    joins them by number, so every page can be drawn and no query meets all pages.
     """
+    from .sync import numbered
+
     p = pages.select("page_id", "book_id", "text_content", F.array_distinct(long_tokens("text_content")).alias("pt"))
     snip = trim_ws(F.substring("text_content", 1, 200)).alias("page_text_snippet")
     q = queries.join(p.select("page_id", F.col("book_id").alias("qb")), "page_id").select("query", F.col("page_id").alias("src"), "qb", F.array_distinct(long_tokens("query")).alias("qt")).dropDuplicates(["query", "src"])
@@ -93,13 +96,13 @@ def labelled(queries: DataFrame, pages: DataFrame, same: int = 4, total: int = 1
     near = near.withColumn("o", order).withColumn("r", F.row_number().over(by)).where(F.col("r") <= same).select("query", "src", "page_id", "word_overlap_score", F.lit(1).alias("relevance_label"))
     own = q.join(p.select(F.col("page_id").alias("src"), "pt"), "src").select("query", "src", F.col("src").alias("page_id"), overlap(F.col("qt"), F.col("pt")).alias("word_overlap_score"), F.lit(2).alias("relevance_label"))
     n = 4 * total
-    ring = p.withColumn("slot", F.pmod(F.xxhash64("page_id", F.lit(seed)), F.lit(1 << 20)))
-    slots = ring.select("page_id", "book_id", "pt", F.percent_rank().over(Window.partitionBy(F.pmod(F.xxhash64("page_id"), F.lit(64))).orderBy("slot", "page_id")).alias("u"), F.pmod(F.xxhash64("page_id"), F.lit(64)).cast("int").alias("part"))
-    slots = slots.withColumn("cell", F.floor(F.col("u") * 16).cast("int"))
-    asks = q.select("query", "src", "qb", "qt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("part", F.pmod(F.xxhash64("query", "src", "i"), F.lit(64)).cast("int")).withColumn("cell", F.pmod(F.xxhash64("query", "src", "i", F.lit(1)), F.lit(16)).cast("int"))
-    cell = slots.groupBy("part", "cell").agg(F.min_by(F.struct("page_id", "book_id", "pt"), F.struct("u", "page_id")).alias("c"))
-    far = asks.select("query", "src", "qb", "qt", "part", "cell").distinct().join(cell, ["part", "cell"]).where("c.book_id <> qb and c.page_id <> src")
-    far = far.select("query", "src", F.col("c.page_id").alias("page_id"), overlap(F.col("qt"), F.col("c.pt")).alias("word_overlap_score"), F.lit(0).alias("relevance_label"))
+    ring = numbered(p.where("book_id is not null").select("page_id", "book_id"), ["book_id", "page_id"], "i")
+    span = ring.groupBy(F.col("book_id").alias("qb")).agg(F.min("i").alias("start"), F.count("*").alias("own"))
+    asks = q.join(span, "qb").withColumn("others", F.lit(ring.count()) - F.col("own")).select("query", "src", "qt", "start", "own", "others", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).where(F.col("k") < F.col("others"))
+    j = F.when(F.col("others") <= n, F.col("k").cast("long")).otherwise(F.pmod(F.xxhash64("query", "src", "k", F.lit(seed)), F.col("others"))) + 1
+    far = asks.select("query", "src", "qt", (j + F.when(j >= F.col("start"), F.col("own")).otherwise(0)).alias("i")).distinct().join(ring.select("i", "page_id"), "i")
+    far = far.withColumn("o", F.xxhash64("query", "src", "page_id", F.lit(seed))).withColumn("r", F.row_number().over(by)).where(F.col("r") <= total).join(p.select("page_id", "pt"), "page_id")
+    far = far.select("query", "src", "page_id", overlap(F.col("qt"), F.col("pt")).alias("word_overlap_score"), F.lit(0).alias("relevance_label"))
     all_ = own.unionByName(near).unionByName(far).withColumn("o", order)
     fill = Window.partitionBy("query", "src").orderBy(F.desc("relevance_label"), "o", "page_id")
     rows = all_.withColumn("r", F.row_number().over(fill)).where(F.col("r") <= total)

@@ -168,6 +168,17 @@ def test_html(spark):
     assert spark.createDataFrame([(h,)], "h string").select(files.html_text("h")).first()[0] == "A & B\nC\nD E"
 
 
+def test_every_page_of_another_book_can_be_a_negative(spark):
+    p = spark.range(3000).select(F.concat_ws("_", F.col("id") % 10, "id").alias("page_id"), (F.col("id") % 10).cast("int").alias("book_id"), F.concat(F.lit("shared words "), F.col("id").cast("string")).alias("text_content"))
+    q = p.where("book_id = 3").select("page_id", F.explode(F.array(*[F.lit(f"query {x}") for x in "abcd"])).alias("query"))
+    rows = ltr.labelled(q, p).collect()
+    drawn = {r.page_id for r in rows if r.relevance_label == 0}
+    assert len(drawn) > 2500 and all(r.book_id != 3 for r in rows if r.relevance_label == 0)
+    few = p.where("book_id = 3 or page_id in ('0_0', '1_1', '2_2', '4_4')")
+    small_ = ltr.labelled(q.limit(5), few).where("relevance_label = 0").groupBy("query", "source_page_id").agg(F.collect_set("page_id").alias("s")).collect()
+    assert len(small_) == 5 and all(set(r.s) == {"0_0", "1_1", "2_2", "4_4"} for r in small_)
+
+
 def test_labels(spark):
     p = spark.createDataFrame([(f"{b}_{n}", b, n, f"alpha beta gamma word{n} word{b} " + " ".join(f"tok{b}{n}{i}" for i in range(60)), 65) for b in range(4) for n in range(12)], "page_id string, book_id int, page_number int, text_content string, word_count int")
     q = ltr.generated_queries(ltr.page_terms(p))
