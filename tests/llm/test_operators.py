@@ -225,6 +225,12 @@ def test_misread_words_at_any_frequency(spark):
     assert got == {"hnks": "links", "hnear": "linear", "substrmg": "substring", "miriimal": "minimal"}
 
 
+def test_all_likely_words_of_a_glyph_key_are_candidates(spark):
+    words = [("face", 100), ("tace", 90), ("faee", 80), ("taee", 70), ("taec", 3), ("f@ce", 1)]
+    got = {r.w: r.cands for r in scans.misread_words(spark.createDataFrame(words, "w string, df long")).collect()}
+    assert got["f@ce"] == ["face", "tace", "faee", "taee"]
+
+
 def test_copies_of_a_page_do_not_make_its_misreadings_frequent(spark):
     r = random.Random(9)
     say = lambda: " ".join(r.choice("every theorem bounds the vector and kernel".split()) for _ in range(25))
