@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,17 +16,23 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the session names none (tests on one machine) a temporary folder is set.
+    Where the session names none, a master on this machine alone gets a temporary folder; on a
+    cluster that is an error, as its executors don't see the driver's disk.
     """
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
-    named = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-")
-    sc.setCheckpointDir(named)
+    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or _own_folder(sc.master))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _own_folder(master: str) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="quire-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -69,21 +76,38 @@ def stage(df: DataFrame) -> DataFrame:
     """
     at = scratch(df.sparkSession, "stage")
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return _mark(df.sparkSession.read.schema(df.schema).parquet(at))
+
+
+def _mark(df: DataFrame) -> DataFrame:
+    df._quire_staged = True
+    return df
 
 
 #: Bytes of a broadcast side, counted as JSON text, that no call exceeds.
 BROADCAST_BYTES = 48 << 20
 
 
+def fits(df: DataFrame, most_rows: int) -> tuple[DataFrame, bool]:
+    """``df`` as a staged table, and whether it has at most ``most_rows`` rows and BROADCAST_BYTES.
+
+    What is not staged yet is staged, so its plan runs once. The rows are counted from the footers;
+    only a table within ``most_rows`` is read for its bytes.
+    """
+    df = df if getattr(df, "_quire_staged", False) else stage(df)
+    if df.count() > most_rows:
+        return df, False
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return df, size <= BROADCAST_BYTES
+
+
 def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint only where it is proven to be small.
+    """``df``, staged, with a broadcast hint only where :func:`fits` has counted that it is small.
 
-    Proven means counted: at most ``most_rows`` rows and BROADCAST_BYTES. Beyond these bounds the
-    plain frame comes back and the join shuffles.
+    Beyond the bounds it comes back without the hint and the join shuffles.
     """
-    n, size = df.limit(most_rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
-    return F.broadcast(df) if n <= most_rows and size <= BROADCAST_BYTES else df
+    df, few = fits(df, most_rows)
+    return F.broadcast(df) if few else df
 
 
 def slots(spark: SparkSession) -> int:
@@ -92,12 +116,15 @@ def slots(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
-    """``df`` hash-partitioned by ``key`` where its input has fewer partitions than the session has slots.
+    """``df`` hash-partitioned by ``key`` where its input makes fewer partitions than the session has slots.
 
-    For steps that need far more CPU than a shuffle of their input.
+    For steps that need far more CPU than a shuffle of their input. The size is the optimizer's
+    estimate, known without running anything.
     """
-    n = slots(df.sparkSession)
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *key)
+    spark = df.sparkSession
+    n, size = slots(spark), int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    per = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df if size >= n * per else df.repartition(n, *key)
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,11 +1,13 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from quire import session
 from quire.operators import logs, ltr, skew, sync, vectors
-from quire.session import small, stage
+from quire.session import small, spread, stage
 from quire.sources import files, store
 from quire.sources.tables import once, read_or_empty
 
@@ -27,6 +29,40 @@ def test_salted_join(spark):
         assert sorted(map(str, got.select("k", "id", "s").collect())) == sorted(map(str, want.select("k", "id", "s").collect()))
 
 
+def test_join_on_several_heavy_keys(spark):
+    big = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 90).alias("k"), (F.col("id") % 2).alias("m"), "id")
+    other = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (4, 0, "c"), (None, 1, "d")], "k long, m long, s string")
+    for how in ("inner", "left"):
+        for most in (0, 100):  # beyond the bound and within it
+            got, want = skew.checked_join(big, other, ["k", "m"], "id", most, how), big.join(other, ["k", "m"], how)
+            assert sorted(map(str, got.select("k", "m", "id", "s").collect())) == sorted(map(str, want.select("k", "m", "id", "s").collect()))
+    kept, want = skew.checked_join(big, other.drop("s"), ["k", "m"], "id", 0, "left_anti"), big.join(other, ["k", "m"], "left_anti")
+    assert sorted(r.id for r in kept.collect()) == sorted(r.id for r in want.collect())
+
+
+def test_heavy_keys_of_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SAMPLE_ROWS", 500)
+    d = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 5 == 0, None).otherwise(F.col("id")).alias("k"))
+    assert skew.heavy_keys(d, "k", 10) == [-1]
+
+
+def test_distinct_and_first_rows_of_heavy_keys(spark):
+    d = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 7).when(F.col("id") % 50 == 0, None).otherwise(F.col("id") % 40).alias("k"), F.when(F.col("id") % 4 > 0, F.col("id") % 100).alias("v"), "id")
+    got = skew.salted_aggregate(d, "k", {"vs": ("distinct", "v"), "rows": ("count", "*")}, salt_by="v")
+    want = d.groupBy("k").agg(F.countDistinct("v").alias("vs"), F.count("*").alias("rows"))
+    assert sorted(map(str, got.select("k", "vs", "rows").collect())) == sorted(map(str, want.collect()))
+    with pytest.raises(ValueError):
+        skew.salted_aggregate(d, "k", {"vs": ("distinct", "v")}, salt_by="id")
+    rows = {}
+    for r in sorted(d.collect(), key=lambda r: (-(r.v if r.v is not None else -1), r.id)):
+        rows.setdefault(r.k, []).append(r.id)
+    top = {}
+    for r in skew.salted_top(d, "k", [F.desc_nulls_last("v"), F.col("id")], 3, 4).collect():
+        top.setdefault(r.k, set()).add(r.id)
+    assert top == {k: set(x[:3]) for k, x in rows.items()}
+    assert skew.salted_top(d.limit(0), "k", [F.col("id")], 3).count() == 0
+
+
 def test_shares_leave_null_keys_out(spark):
     d = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("c", 2), ("d", None)], "page_id string, book_id int")
     assert {r.book_id: (r.n, round(r.share, 3)) for r in skew.key_shares(d, "book_id", "page_id").collect()} == {1: (2, 0.667), 2: (1, 0.333)}
@@ -45,9 +81,42 @@ def test_small_is_a_checked_broadcast(spark):
     assert kept.count() == 100
 
 
-def test_released_tables_are_gone(spark):
-    from quire import session
+def _jobs(spark, run):
+    """How many jobs ``run`` starts."""
+    sc = spark.sparkContext
+    sc.setJobGroup(g := f"jobs-{id(run)}", "")
+    try:
+        run()
+        return len(sc.statusTracker().getJobIdsForGroup(g))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
 
+def test_spread_runs_nothing_while_it_plans(spark):
+    d = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    assert _jobs(spark, lambda: spread(d, "k")) == 0 and spread(d, "k").rdd.getNumPartitions() == 4
+    assert _jobs(spark, lambda: spread(spark.range(3), "id").collect()) > 0
+
+
+def test_small_runs_its_plan_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    assert small(spark.range(100).mapInArrow(count, "id long"), 1000).count() == 100 and seen.value == 100
+
+
+def test_no_own_folder_on_a_cluster():
+    for master in ("yarn", "spark://host:7077", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            session._own_folder(master)
+    assert os.path.isdir(session._own_folder("local[4]"))
+
+
+def test_released_tables_are_gone(spark):
     df = stage(spark.range(3))
     at = session._staged[-1]
     assert df.count() == 3 and session.release(spark) >= 1 and not session._staged
