@@ -27,7 +27,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 # 2: frequency of every term
 def p2_terms(spark: SparkSession, d: str) -> DataFrame:
-    counts = ngrams.posting_counts(postings(spark, d))
+    tokens_of = ngrams.posting_tokens(postings(spark, d), F.struct("book_id", "page_number"))
+    counts = ngrams.ngram_counts(tokens_of, 1).withColumnRenamed("ngram", "term")
     n = table(spark, d, "postings").select("book_id", "page_number").distinct().count()
     return ngrams.marked(counts, n)
 
@@ -42,7 +43,7 @@ def p2_term_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_ngrams(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d, "text_content").select("page_id", tokens("text_content").alias("t"))
-    return ngrams.ngram_counts(p, "page_id", "t", 3)
+    return ngrams.ngram_counts(ngrams.text_tokens(p, "page_id", "t"), 3)
 
 
 # 3: percentiles of latencies

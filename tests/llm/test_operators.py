@@ -67,19 +67,50 @@ def test_blocks_of_a_large_cell(spark, monkeypatch):
 
 
 # 2
-@pytest.mark.parametrize("max_n", [1, 3])
-def test_ngram_counts(spark, max_n):
-    r = random.Random(5)
-    texts = [(i % 60, " ".join(r.choice("a b c dd e") for _ in range(r.randrange(0, 30)))) for i in range(60)] + [(60, None), (61, ""), (62, "the " * 400)]
+def _grams(texts, max_n):
     occ, rec = Counter(), Counter()
     for _, t in texts:
         g = [" ".join(W(t)[i : i + n]) for n in range(1, max_n + 1) for i in range(len(W(t)) - n + 1)]
         occ.update(g)
         rec.update(set(g))
+    return {k: (v, rec[k]) for k, v in occ.items()}
+
+
+@pytest.mark.parametrize("max_n, block", [(1, 4096), (3, 4096), (4, 7), (9, 8)])
+def test_ngram_counts(spark, monkeypatch, max_n, block):
+    monkeypatch.setattr(ngrams, "BLOCK", block)  # tokens of one record in many groups
+    r = random.Random(5)
+    texts = [(i % 60, " ".join(r.choice("a b c dd e") for _ in range(r.randrange(0, 30)))) for i in range(60)] + [(60, None), (61, ""), (62, "the " * 400)]
     d = spark.createDataFrame(texts, "sfx long, w string").select("sfx", tokens("w").alias("dup"))
-    got = {x.ngram: (x.occurrences, x.records) for x in ngrams.ngram_counts(d, "sfx", "dup", max_n).collect()}
-    assert got == {k: (v, rec[k]) for k, v in occ.items()}
-    assert ngrams.ngram_counts(d.limit(0), "sfx", "dup", max_n).count() == 0
+    count = lambda d: ngrams.ngram_counts(ngrams.text_tokens(d, "sfx", "dup"), max_n)
+    got = [(x.ngram, (x.occurrences, x.records)) for x in count(d).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == _grams(texts, max_n)
+    assert count(d.limit(0)).count() == 0
+
+
+def test_ngram_intervals_over_batches_and_partitions(spark):
+    texts = [(i, f"same words here {i % 3} and same words there") for i in range(400)]
+    d = spark.createDataFrame(texts, "r long, t string").select("r", tokens("t").alias("t"))
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(conf)
+    try:
+        spark.conf.set(conf, "3")
+        for parts in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = [(x.ngram, (x.occurrences, x.records)) for x in ngrams.ngram_counts(ngrams.text_tokens(d, "r", "t"), 3).collect()]
+            assert len(got) == len(dict(got)) and dict(got) == _grams(texts, 3)
+    finally:
+        spark.conf.set(conf, old)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_tokens_of_postings(spark):
+    rows = [("a b", 1, None, [0, 3]), ("c", 1, 2, [1, 2, 7]), ("d", 1, 3, [4]), ("e", 2, 2, None), ("f", 2, None, None), ("g", 2, 0, [1]), ("c", 2, 1, [])]
+    p = spark.createDataFrame(rows, "term string, rec int, tf int, positions array<int>")
+    t = ngrams.posting_tokens(p, F.col("rec"))
+    assert {(x.ngram, x.occurrences, x.records) for x in ngrams.ngram_counts(t, 1).collect()} == {("a b", 2, 1), ("c", 3, 2), ("d", 3, 1), ("e", 2, 1)}
+    two = {x.ngram: x.occurrences for x in ngrams.ngram_counts(t, 2).where("n = 2").collect()}
+    assert two == {"a b c": 1, "c c": 1, "c a b": 1, "a b d": 1}
 
 
 # 3
