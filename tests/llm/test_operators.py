@@ -346,13 +346,58 @@ def test_garbled_text_that_holds_most_rows(spark, near):
     assert all(got[k].startswith(CLEAN[0]) for k, _ in bad)
 
 
-@given(st.text(max_size=30), st.sampled_from(garbled.READ))
+def _byte_table(read):
+    known = garbled.single_bytes()[read]
+    return {**{chr(b): b for b in range(128, 160)}, **{c: b + 128 for b, c in enumerate(known) if c}}
+
+
+@given(st.text(max_size=30), st.sampled_from(["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1253", "koi8_r", "cp866", "cp1254"]))
 @settings(max_examples=200, deadline=None)
 def test_undo_of_utf8(text, read):
-    table = {b: c for c, b in garbled._bytes_of(read).items()}
+    table = {b: c for c, b in _byte_table(read).items()}
+    table |= {b: chr(b) for b in range(128, 256) if b not in table}
     wrong = "".join(chr(b) if b < 128 else table[b] for b in text.encode("utf-8", "ignore"))
     clean = text.encode("utf-8", "ignore").decode()
-    assert (garbled.undo(wrong, "utf-8", read) or wrong) == clean
+    full = garbled.Table("bytes", {c: b for b, c in table.items()})
+    assert (full.undo(wrong) or wrong) == clean
+
+
+def test_mappings_come_from_aligned_twins(spark):
+    say = lambda i: f"Über größere Bäume läuft stets ähnlich schöne Prüfung Nummer {i % 7}"
+    texts = spark.createDataFrame([(say(i),) for i in range(7)] + [(say(i).encode("mac_roman").decode("cp1254"),) for i in range(7)] + [(say(i).encode().decode("cp1252"),) for i in range(7)], "t string")
+    words = texts.select(F.explode(F.split("t", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    pairs = {(r.form, r.clean) for r in garbled.twins(texts, words).collect()}
+    assert pairs and all(c in " ".join(say(i) for i in range(7)) and c != f for f, c in pairs)
+    made = garbled.tables(garbled.twins(texts, words).mapInArrow(garbled._mappings, "kind string, names string, u string, c string, u2 string, c2 string, n long"))
+    assert {t.kind for t in made} == {"bytes", "chars"}
+    clean = say(1)
+    assert any(t.undo(clean.encode().decode("cp1252")) == clean for t in made)
+    assert any(t.undo("Bäume".encode("mac_roman").decode("cp1254")) == "Bäume" for t in made)
+
+
+# encodings outside any list of ours: Turkish and Icelandic letters read as other ones, and one that no encoding explains
+@pytest.mark.parametrize("written, read", [("cp1254", "latin-1"), ("iso8859_9", "cp437"), ("cp1254", None)])
+def test_any_encoding_is_learned(spark, written, read):
+    words = "ağaç şekil ışık gülüş çağrı öğüt sığır düğüm kışın güneş üşüdü çiçeği başım yağış İzmir Şubat".split()
+    own = str.maketrans("ğşıöüçİŞ", "γσιφυχΙΣ")  # a mapping of our own
+    garble = lambda t: t.encode(written).decode(read) if read else t.translate(own)
+    r = random.Random(3)
+    lines = [" ".join(r.choice(words) for _ in range(9)) + f" satir {i}" for i in range(300)]
+    bad = {1000 + i: (garble(lines[i]), lines[i]) for i in range(24)}
+    d = spark.createDataFrame(list(enumerate(lines)) + [(k, g) for k, (g, _) in bad.items()], "w long, back string")
+    assert {x.w for x in garbled.garbled(d, "w", "back").collect()} == set(bad)
+    got = {x.w: x.back for x in garbled.restore(d, "w", "back").collect()}
+    assert sum(got[k] == t for k, (_, t) in bad.items()) >= 22
+
+
+def test_long_words_and_repeated_misreadings(spark):
+    long = "längere-" * 40  # 320 characters without a blank
+    lines = [f"Die {long}Übung zählt für große Bäume stets Nummer {i}" for i in range(40)]
+    twice = lambda t: t.encode().decode("cp1252").encode().decode("cp1252")
+    bad = {100 + i: lines[i].encode().decode("cp1252") for i in range(6)} | {200 + i: twice(lines[i].replace("Ü", "ü")) for i in range(6)}
+    d = spark.createDataFrame(list(enumerate(lines)) + list(bad.items()), "w long, back string")
+    got = {x.w: x.back for x in garbled.restore(d, "w", "back").collect()}
+    assert set(got) == set(bad) and all(got[100 + i] == lines[i] and got[200 + i] == lines[i].replace("Ü", "ü") for i in range(6))
 
 
 def test_nothing_outside_imports_this_package():
