@@ -250,15 +250,51 @@ def test_page_repair(spark):
     assert scans.repair_pages(p.limit(0), spark.createDataFrame([], "book_id int, title string")).count() == 0
 
 
+def _alike(spark, words):
+    """The words, and vectors of one direction for all of them."""
+    d = spark.createDataFrame(words, "w string, df long")
+    return d, d.select("w", F.array(*[F.lit(1.0).cast("float")] * scans.VECTOR).alias("v"))
+
+
+def test_vectors_decide_what_a_word_may_be(spark):
+    words = [("links", 400), ("hnks", 20), ("linear", 300), ("hnear", 3)]
+    d, same = _alike(spark, words)
+    read = lambda v: {r.w: r.cands for r in scans.misread_words(d, v).collect()}
+    assert read(same) == {"hnks": ["links"], "hnear": ["linear"]}
+    assert read(same.limit(0)) == {}
+    turned = same.withColumn("v", F.when(F.col("w") == "hnks", F.transform("v", lambda x: -x)).otherwise(F.col("v")))
+    assert read(turned) == {"hnear": ["linear"]}
+
+
+def test_context_chooses_among_candidates(spark):
+    r = random.Random(12)
+    one = lambda w: f"they {r.choice(['often', 'never'])} {w} quickly before {r.choice(['noon', 'dusk'])}"
+    two = lambda w: f"some {r.choice(['red', 'blue'])} {w} lies under {r.choice(['stone', 'water'])}"
+    rows = [(f"a{n}", one("tace")) for n in range(60)] + [(f"b{n}", two("face")) for n in range(55)] + [("x", one("f@ce")), ("y", two("t@ce"))]
+    p = spark.createDataFrame([(i, n, n, None, f"{t} number {n}") for n, (i, t) in enumerate(rows)], "page_id string, book_id int, page_number int, display_page_number string, text_content string")
+    got = {x.page_id: x for x in scans.repair_pages(p, spark.createDataFrame([], "book_id int, title string")).collect()}
+    assert got["x"].kinds == got["y"].kinds == ["misread"] and " tace " in got["x"].text and " face " in got["y"].text
+
+
+def test_long_words_and_lines(spark):
+    word = "pneumono" * 5 + "coniosis"  # 48 letters
+    bad, code = word.replace("coniosis", "c0niosis"), "QmFzZTY0IGlz0IG5vIHRleHQgYXQgYWxsIGhlcmU5"
+    rows = [(f"p{n}", n, n, None, f"The {word} is named {n}.") for n in range(30)] + [("bad", 90, 90, None, f"The {bad} is named."), ("code", 91, 91, None, f"The name is\n{code}\nnamed."), ("alone", 92, 92, None, f"The\n{word}\nis.")]
+    p = spark.createDataFrame(rows, "page_id string, book_id int, page_number int, display_page_number string, text_content string")
+    got = {x.page_id: x for x in scans.repair_pages(p, spark.createDataFrame([], "book_id int, title string")).collect()}
+    assert got["bad"].kinds == ["misread"] and word in got["bad"].text
+    assert got["code"].kinds == [] and code in got["code"].text and got["alone"].text == f"The {word} is."
+
+
 def test_misread_words_at_any_frequency(spark):
     words = [("links", 400), ("hnks", 20), ("linear", 300), ("hnear", 3), ("substring", 90), ("substrmg", 9), ("minimal", 80), ("miriimal", 5), ("the", 5000), ("heap", 200), ("stack", 60), ("limit", 50), ("linits", 40)]
-    got = {r.w: r.cands[0] for r in scans.misread_words(spark.createDataFrame(words, "w string, df long")).collect()}
+    got = {r.w: r.cands[0] for r in scans.misread_words(*_alike(spark, words)).collect()}
     assert got == {"hnks": "links", "hnear": "linear", "substrmg": "substring", "miriimal": "minimal"}
 
 
 def test_all_likely_words_of_a_glyph_key_are_candidates(spark):
     words = [("face", 100), ("tace", 90), ("faee", 80), ("taee", 70), ("taec", 3), ("f@ce", 1)]
-    got = {r.w: r.cands for r in scans.misread_words(spark.createDataFrame(words, "w string, df long")).collect()}
+    got = {r.w: r.cands for r in scans.misread_words(*_alike(spark, words)).collect()}
     assert got["f@ce"] == ["face", "tace", "faee", "taee"]
 
 
