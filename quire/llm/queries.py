@@ -76,22 +76,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 # 6: near-duplicate pages
-def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = pages(spark, d, "text_content")
-    return neardup.similar_sets(spread(p, "page_id"), "page_id", "text_content")
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(pages(spark, d, "text_content"), "page_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.similar_pairs(*_similar(spark, d)).select(F.col("a").alias("page_id_a"), F.col("b").alias("page_id_b"))
+    links = neardup.similar_sets(_texts(spark, d), "page_id", "text_content")
+    return neardup.similar_pairs(*links).select(F.col("a").alias("page_id_a"), F.col("b").alias("page_id_b"))
 
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
-    members, links = _similar(spark, d)
-    links = stage(links)
-    group = members.join(neardup.components(members, links), "rid")
-    n = links.select("a", "b").union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("links"))
-    least = group.groupBy("cls").agg(F.min("key").alias("group_id"))
-    return group.join(least, "cls").join(n.withColumnRenamed("a", "rid"), "rid", "left").select(F.col("key").alias("page_id"), "group_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return neardup.groups(_texts(spark, d), "page_id", "text_content").withColumnRenamed("key", "page_id")
 
 
 # 7: scanned pages

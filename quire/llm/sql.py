@@ -23,6 +23,7 @@ SQL: dict[str, str] = {
     "p3_percentiles": f"WITH {_LOG} SELECT grain, period, pct, n, value::BIGINT AS value FROM r",
     "p5_found": "SELECT DISTINCT 'page' AS kind, page_id AS item_id FROM pages WHERE length(text_content) > 2400 UNION SELECT 'chunk', chunk_id FROM page_chunks WHERE length(chunk_text) > 2400",
     "p6_found": f"WITH {_PG}, w AS (SELECT page_id, {_TOK.format('t')} AS w FROM pg), s AS (SELECT page_id, list_distinct({_gram(3)}) AS s FROM w WHERE len(w) >= 30), e AS (SELECT page_id, len(s) AS n, unnest(s) AS g FROM s) SELECT a.page_id AS page_id_a, b.page_id AS page_id_b FROM e a JOIN e b ON a.g = b.g AND a.page_id < b.page_id GROUP BY a.page_id, b.page_id, a.n, b.n HAVING 2 * count(*) >= a.n + b.n - count(*)",
+    "p6_groups": f"WITH RECURSIVE {_PG}, w AS (SELECT page_id, {_TOK.format('t')} AS w FROM pg), s AS (SELECT page_id, list_distinct({_gram(3)}) AS s FROM w WHERE len(w) >= 30), e AS (SELECT page_id, len(s) AS n, unnest(s) AS g FROM s), l AS (SELECT a.page_id AS a, b.page_id AS b FROM e a JOIN e b ON a.g = b.g AND a.page_id <> b.page_id GROUP BY a.page_id, b.page_id, a.n, b.n HAVING 2 * count(*) >= a.n + b.n - count(*)), r(a, b) AS (SELECT page_id, page_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), m AS (SELECT a AS page_id, min(b) AS group_id FROM r GROUP BY a) SELECT page_id, group_id, count(*) OVER (PARTITION BY group_id) AS size FROM m",
     "p9_found": f"WITH d AS (SELECT doc_id, unnest({_gram(10)}) AS g FROM (SELECT doc_id, {_TOK.format('text')} AS w FROM documents)), e AS (SELECT item_id, unnest({_gram(10)}) AS g FROM (SELECT item_id, {_TOK.format('text')} AS w FROM eval_items)) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

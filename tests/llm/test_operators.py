@@ -193,6 +193,10 @@ def test_similar_sets_equal_brute_force(spark):
     groups = defaultdict(set)
     for x in members.join(neardup.components(members, links), "rid").collect():
         groups[x.cls].add(x.key)
+    direct = defaultdict(set)
+    for x in neardup.groups(d, "h", "n").collect():
+        direct[x.group_id].add(x.key)
+    assert {frozenset(g) for g in direct.values()} == {frozenset(g) for g in groups.values()} and all(min(g) == k for k, g in direct.items())
     parent = {k: k for k in s}
 
     def find(x):
@@ -208,6 +212,19 @@ def test_similar_sets_equal_brute_force(spark):
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in truth.values()}
     m, x = neardup.similar_sets(d.limit(0), "h", "n")
     assert neardup.similar_pairs(m, x).count() == 0
+    assert neardup.groups(d.limit(0), "h", "n").count() == 0
+
+
+def test_a_large_family_has_few_links(spark, monkeypatch):
+    r = random.Random(7)
+    base = [f"w{r.randrange(500)}" for _ in range(120)]
+    rows = [(i, " ".join(_edit(r, base, 4))) for i in range(400)] + [(1000 + i, " ".join(f"v{r.randrange(500)}" for _ in range(100))) for i in range(50)]
+    d = spark.createDataFrame(rows, "id long, t string")
+    seen, real = [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, p: seen.append(pairs.count()) or real(pairs, p))
+    got = {x.key: (x.group_id, x.size) for x in neardup.groups(d, "id", "t").collect()}
+    assert all(got[i] == (0, 400) for i in range(400)) and all(got[1000 + i] == (1000 + i, 1) for i in range(50))
+    assert sum(seen) < 400 * 30  # of 79,800 pairs
 
 
 def test_components_of_a_long_chain(spark):
