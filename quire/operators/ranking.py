@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bind, ngrams, tokens, trim_ws
-from .lexical import DOC, bm25, expansions, query_tokens, top_per_query, weighted_terms
+from ..session import small, stage
+from .lexical import DOC, QUERY_ROWS, bm25, expansions, query_tokens, top_per_query, weighted_terms
 
 PHRASE_WEIGHT, PROXIMITY_WEIGHT, PROXIMITY_WINDOW, NGRAM_MOST = 8.0, 2.5, 20, 2.4
 SHORT_QUERY, MEDIUM_QUERY = 3, 8
@@ -14,9 +15,13 @@ SNIPPET = 220
 
 
 def term_positions(cands: DataFrame, qt: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, book_id, page_number, pos): for each query token in order its positions in the page, empty where absent."""
+    """(query_id, book_id, page_number, pos): for each query token in order its positions in the page, empty where absent.
+
+    Only postings of query terms leave the scan: the terms are broadcast where they are few.
+    """
     ask = qt.select("query_id", F.posexplode("qt").alias("ord", "term"))
-    met = cands.select("query_id", *DOC).join(ask, "query_id").join(postings.select("term", *DOC, "positions"), ["term", *DOC], "left")
+    hit = postings.select("term", *DOC, "positions").join(small(ask.select("term").distinct(), QUERY_ROWS), "term", "left_semi")
+    met = cands.select("query_id", *DOC).join(ask, "query_id").join(hit, ["term", *DOC], "left")
     entry = F.struct("ord", F.coalesce("positions", F.array().cast("array<int>")).alias("p"))
     return met.groupBy("query_id", *DOC).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["p"]).alias("pos"))
 
@@ -102,7 +107,8 @@ def hybrid(queries: DataFrame, postings: DataFrame, docs: DataFrame, semantic: D
     else:
         asked = semantic.join(qt.select("query_id"), "query_id", "left_semi")
         cands = lex.join(asked, ["query_id", *DOC], "full_outer").withColumns({"bm25": F.coalesce("bm25", F.lit(0.0)), "semantic": F.coalesce("semantic", F.lit(0.0))})
-    x = features(cands, queries, postings, docs).withColumn("lexical", F.round(F.col("bm25") + F.col("proximity") + F.col("ngram"), 9))
+    # the candidates, a bounded number for each query, are read twice
+    x = features(stage(cands), queries, postings, docs).withColumn("lexical", F.round(F.col("bm25") + F.col("proximity") + F.col("ngram"), 9))
     per = Window.partitionBy("query_id")
     top = lambda c: bind(F.max(c).over(per), lambda m: F.when(m > 0, m).otherwise(1.0))
     x = x.withColumn("lex_n", F.col("lexical") / top("lexical")).withColumn("sem_n", F.col("semantic") / top("semantic"))

@@ -53,13 +53,26 @@ def backfill(df: DataFrame, defaults: dict[str, object]) -> tuple[DataFrame, Dat
 
 
 def resolve_titles(pages: DataFrame, index_titles: DataFrame, books: DataFrame) -> DataFrame:
-    """(book_id, page_number, title): the index's title, else the catalogue's, else Unknown; blank and "unknown" do not count."""
-    real = lambda c: F.when(~F.lower(trim_ws(c)).isin("", "unknown"), F.col(c))
+    """(book_id, page_number, title): the index's title, else the catalogue's, else Unknown, trimmed; blank and "unknown" do not count."""
+    real = lambda c: F.when(~F.lower(trim_ws(c)).isin("", "unknown"), trim_ws(c))
     i = index_titles.select("book_id", F.col("title").alias("t1"))
     b = books.select("book_id", F.col("title").alias("t2"))
     return pages.join(i, "book_id", "left").join(b, "book_id", "left").select("book_id", "page_number", F.coalesce(real("t1"), real("t2"), F.lit("Unknown")).alias("title"))
 
 
+def book_list(books: DataFrame, limit: int = 100, newest: bool = False) -> DataFrame:
+    """The first ``limit`` books by book_id, descending with ``newest``; books without an id come last."""
+    if not 1 <= limit <= 500:
+        raise ValueError("limit must be within 1 and 500")
+    return books.orderBy(F.desc_nulls_last("book_id") if newest else F.asc_nulls_last("book_id")).limit(limit)
+
+
+def page_list(pages: DataFrame, book: int) -> DataFrame:
+    """(page_id, page_number, position): the pages of a book in the order of their numbers, ties by page_id, unnumbered ones last."""
+    w = Window.partitionBy("book_id").orderBy(F.asc_nulls_last("page_number"), "page_id")  # one book's pages
+    return pages.where(F.col("book_id") == book).select("page_id", "page_number", F.row_number().over(w).cast("long").alias("position"))
+
+
 def page_with_book(pages: DataFrame, books: DataFrame) -> DataFrame:
     """Pages with a nested ``book``: six nullable fields, null fields where the catalogue lacks the book."""
     b = books.select("book_id", F.struct("book_id", "title", "author", "year", "domain", "num_pages").alias("book"))

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import small
+from ..session import small, stage
 
 #: Exact below so many vectors; beyond, clusters: floor(sqrt(n)) of them, within these bounds.
 EXACT_BELOW, CLUSTERS_LEAST, CLUSTERS_MOST = 10_000, 64, 4096
 #: Rows of the sample on which the coarse clusters are fitted; query rows up to which queries are broadcast.
 TRAIN_ROWS, QUERY_ROWS = 5000, 10_000
+#: Queries and chunks of a block.
+BLOCK = 8192
 
 
 def inner(a: Column, b: Column) -> Column:
@@ -39,12 +43,48 @@ def unit_chunks(chunks: DataFrame, dim: int = 64) -> DataFrame:
     return c.groupBy("chunk_id").agg(keep).select("chunk_id", "r.*")
 
 
-def scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk fields, score) of each query vector (query_id, qvec) against all chunks.
+def _matrix(col: pa.ChunkedArray) -> np.ndarray:
+    flat = col.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(col), -1)
 
-    The stated queries are a small set, checked before it is broadcast; each chunk is read once.
+
+def _block(k: int | None):
+    """Of the queries and the chunks of one block the scores, of each query the k best, ties by the smaller chunk_id."""
+    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+
+    def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
+        if not len(queries) or not len(chunks):
+            return schema.empty_table()
+        ids = chunks.column("chunk_id").to_numpy()
+        order = np.argsort(ids)
+        x, ids, out = _matrix(chunks.column("vec"))[order], ids[order], []
+        for q, v in zip(queries.column("query_id").to_numpy(), _matrix(queries.column("qvec"))):
+            s = np.round(x @ v, 9)
+            at = np.argsort(-s, kind="stable")[:k]
+            out.append(pa.table([pa.array(np.full(len(at), q)), pa.array(ids[at]), pa.array(s[at])], schema=schema))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def scores(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, chunk fields, score) of each query vector (query_id, qvec) against all chunks, or of its k best.
+
+    Queries and chunks meet in blocks of about BLOCK of either, so neither side is broadcast and no
+    task gets all of one; with ``k`` only so many rows of a query leave a block. An empty side gives
+    no row.
     """
-    return chunks.join(small(queries, QUERY_ROWS)).withColumn("score", F.round(inner(F.col("vec"), F.col("qvec")), 9)).drop("vec", "qvec")
+    chunks = chunks if getattr(chunks, "_quire_staged", False) else stage(chunks)
+    queries = stage(queries.select(F.col("query_id").cast("long").alias("query_id"), "qvec"))
+    ni, nj = max(1, -(-chunks.count() // BLOCK)), max(1, -(-queries.count() // BLOCK))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = queries.select("query_id", "qvec", part("query_id", nj).alias("j"), every(ni).alias("i"))
+    b = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "vec", part("chunk_id", ni).alias("i"), every(nj).alias("j"))
+    met = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(_block(k), "query_id long, chunk_id long, score double")
+    if k is not None and ni > 1:
+        met = top_chunks(met, k).drop("rank")
+    return met.join(chunks.drop("vec"), "chunk_id")
 
 
 def top_chunks(scored: DataFrame, k: int) -> DataFrame:
@@ -93,10 +133,15 @@ def clustered_search(chunks: DataFrame, queries: DataFrame, k: int, cells: int,
     return top_chunks(met, k)
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int, probes: int = 16) -> DataFrame:
+def probes_for(cells: int) -> int:
+    """Cells that are looked into: a quarter, 16 at least, so that recall does not fall as cells grow."""
+    return min(cells, max(16, -(-cells // 4)))
+
+
+def search(chunks: DataFrame, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
     """Top k chunks of each query: exact for fewer than EXACT_BELOW chunks, by cells beyond."""
     n = chunks.count()
-    return top_chunks(scores(queries, chunks), k) if n < EXACT_BELOW else clustered_search(chunks, queries, k, clusters(n), probes)
+    return top_chunks(scores(queries, chunks, k), k) if n < EXACT_BELOW else clustered_search(chunks, queries, k, clusters(n), probes or probes_for(clusters(n)))
 
 
 def build(pages: DataFrame, titles: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> tuple[DataFrame, DataFrame]:

@@ -164,39 +164,60 @@ def _query_vectors(chunks: DataFrame) -> DataFrame:
     return few.select(F.row_number().over(Window.orderBy("chunk_id")).cast("long").alias("query_id"), F.col("vec").alias("qvec"))
 
 
+def _chunks(spark, d):
+    return stage(vectors.unit_chunks(table(spark, d, "chunk_vectors")))
+
+
+def _stated(chunks: DataFrame) -> DataFrame:
+    """(query_id, qvec): the vector of every chunk whose id is divisible by 50."""
+    return chunks.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec"))
+
+
+#: Chunks and pages of a query that a search for 10 results takes from the vector side.
+CHUNK_CUT, PAGE_CUT = max(1200, 6 * 200, 250 * 10), max(200, 30 * 10)
+
+
 def _semantic(spark, d):
-    c = stage(vectors.unit_chunks(table(spark, d, "chunk_vectors")))
-    return vectors.scores(_query_vectors(c), c)
+    """Of the text queries' vectors the scores of the best CHUNK_CUT chunks."""
+    c = _chunks(spark, d)
+    return vectors.scores(_query_vectors(c), c, CHUNK_CUT)
 
 
 def vector_topk(spark, d):
-    return vectors.top_chunks(_semantic(spark, d), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
+    c = _chunks(spark, d)
+    return vectors.top_chunks(vectors.scores(_stated(c), c, 10), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
 
 
 def vector_page_maxpool(spark, d):
-    return vectors.top_pages(vectors.page_max(_semantic(spark, d)), 200).select("query_id", "book_id", "page_number", F.round("semantic", 6).alias("semantic"), "chunk_id")
+    c = _chunks(spark, d)
+    return vectors.top_pages(vectors.page_max(vectors.scores(_stated(c), c, CHUNK_CUT)), 200).select("query_id", "book_id", "page_number", F.round("semantic", 6).alias("semantic"), "chunk_id")
 
 
 def vector_page_restricted(spark, d):
-    p = indexable_pages(spark, d).where("page_number <= 2").select("book_id", "page_number").join(F.broadcast(_queries(spark).select("query_id")))
-    return vectors.restricted(p, _semantic(spark, d)).withColumn("semantic", F.round("semantic", 6))
+    """Vector scores of the pages that the lexical search has found."""
+    docs, postings = _written_index(spark, d)
+    p = lexical.top_per_query(lexical.bm25(lexical.weighted_terms(lexical.query_tokens(_queries(spark))), postings, docs), "bm25", 250).select("query_id", "book_id", "page_number")
+    c = _chunks(spark, d)
+    return vectors.restricted(p, vectors.scores(_query_vectors(c), c)).withColumn("semantic", F.round("semantic", 6))
 
 
 def hybrid_search(spark, d):
     """The flagship: every query fused from its lexical and vector candidates in one plan."""
     docs, postings = _written_index(spark, d)
-    sem = vectors.top_pages(vectors.page_max(_semantic(spark, d)), 300).select("query_id", "book_id", "page_number", "semantic", "hint")
+    sem = vectors.top_pages(vectors.page_max(_semantic(spark, d)), PAGE_CUT).select("query_id", "book_id", "page_number", "semantic", "hint")
     return ranking.hybrid(_queries(spark), postings, docs, sem, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "book_id", "page_number", "page_id", "score", "lexical", "semantic")
 
 
 def clustered_recall(spark, d):
-    """(query_id, hits): how many of the 10 best chunks the clustered search finds."""
-    c = stage(vectors.unit_chunks(table(spark, d, "chunk_vectors")))
-    q = _query_vectors(c)
-    exact = vectors.top_chunks(vectors.scores(q, c), 10).select("query_id", "chunk_id")
+    """One row (queries, enough): the queries of :func:`_stated`, and whether the clustered search finds 90 % of their 10 best chunks."""
+    c = _chunks(spark, d)
+    q = stage(_stated(c))
+    exact = vectors.top_chunks(vectors.scores(q, c, 10), 10).select("query_id", "chunk_id")
     n = c.count()
-    found = vectors.clustered_search(c, q, 10, min(vectors.clusters(n), max(1, n // 8)), 16).select("query_id", "chunk_id")
-    return exact.join(found, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count("*").alias("hits"))
+    cells = min(vectors.clusters(n), max(1, n // 8))
+    found = vectors.clustered_search(c, q, 10, cells, vectors.probes_for(cells)).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    x = exact.join(found, ["query_id", "chunk_id"], "left")
+    return x.agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
 def title_resolution(spark, d):
@@ -223,11 +244,11 @@ def chunk_ids(spark, d):
 
 # logs
 def history_user(spark, d):
-    return logs.history(log_rows(spark, d, "user_id", "query_text", "created_at").where("created_at is not null"), 2, 50)
+    return logs.history(log_rows(spark, d, "user_id", "query_text", "created_at"), 2, 50)
 
 
 def admin_logs_page(spark, d):
-    return logs.page_of_logs(log_rows(spark, d, "user_id", "query_text", "created_at").where("created_at is not null"), 20, 50)
+    return logs.page_of_logs(log_rows(spark, d, "user_id", "query_text", "created_at"), 20, 50)
 
 
 def log_summary(spark, d):
@@ -346,6 +367,35 @@ def ltr_label_histogram(spark, d):
     return ltr.label_histogram(ltr_labels(spark, d))
 
 
+def ltr_label_rules(spark, d):
+    """One row of violations: queries without exactly one source, with more than 4 pages of its book, with more than 10 rows, negatives of its book, sources elsewhere."""
+    x = stage(ltr_labels(spark, d))
+    src = x.where("relevance_label = 2").select("query", "source_page_id", F.col("book_id").alias("own"), (F.col("page_id") != F.col("source_page_id")).alias("off"))
+    n = lambda label: F.count_if(F.col("relevance_label") == label)
+    per = x.groupBy("query", "source_page_id").agg(n(2).alias("two"), n(1).alias("one"), F.count("*").alias("rows"))
+    a = per.agg(F.count_if(F.col("two") != 1).alias("sources"), F.count_if(F.col("one") > 4).alias("near"), F.count_if(F.col("rows") > 10).alias("many"))
+    b = x.join(src, ["query", "source_page_id"]).agg(F.count_if((F.col("relevance_label") == 0) & (F.col("book_id") == F.col("own"))).alias("negatives"), F.count_if(F.col("off")).alias("elsewhere"))
+    return a.join(b)  # one row each
+
+
+def ltr_cleaned_labels(spark, d):
+    """The labelled rows by the rule they fail first."""
+    x = ltr_labels(spark, d)
+    return ltr.removal_reasons(x.select(ltr.rule(F.col("query"), F.col("word_overlap_score")).alias("rule")))
+
+
+def catalogue_newest(spark, d):
+    return sync.book_list(table(spark, d, "books").select("book_id", "title"), 100, newest=True)
+
+
+def catalogue_books(spark, d):
+    return sync.book_list(table(spark, d, "books").select("book_id", "title"), 100)
+
+
+def book_pages(spark, d):
+    return sync.page_list(pages(spark, d, "book_id", "page_number"), 2)
+
+
 def _ruled(spark, d):
     q = log_rows(spark, d, "query_text", "total_results").where("query_text is not null")
     return q.select("log_id", "query_text", ltr.rule(F.col("query_text"), F.coalesce("total_results", F.lit(0))).alias("rule"))
@@ -369,10 +419,10 @@ def query_length_distribution(spark, d):
 
 
 def ltr_word_overlap(spark, d):
-    """Distinct words of each evaluation item on the pages that hold its rarest words."""
+    """How many distinct words of each evaluation item stand on each page that holds any."""
     items = _items(spark, d).select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
     post = _index(spark, d)[1].select("term", "book_id", "page_number")
-    return items.join(post, "term").groupBy("query_id", "book_id", "page_number").agg(F.count("*").alias("overlap")).where("overlap >= 15")
+    return items.join(post, "term").groupBy("query_id", "book_id", "page_number").agg(F.count("*").alias("overlap"))
 
 
 # texts
@@ -454,6 +504,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         top_results, history_delete, next_id, stream_daily, status_histogram, manifest_sync, sync_summary, backfill, keyed_update, index_remove_books, incremental_reindex, published_index,
         table_catalogue, ltr_ngrams_top, ltr_query_regen, ltr_labels, ltr_label_histogram, clean_rules, removal_reasons, retention, query_length_distribution, ltr_word_overlap, extractive_summary,
         sentence_counts, truncated_text, html_text, json_body, chunk_counters, page_summaries, library_paths, activity_bars, log_pages, search_log_entries, dataset_slice, regeneration_report,
-        daily_trend,
+        daily_trend, ltr_label_rules, ltr_cleaned_labels, catalogue_newest, catalogue_books, book_pages,
     )
 }

@@ -75,11 +75,21 @@ f5 AS (SELECT *, round((CASE WHEN q <= 3 THEN 0.70 WHEN q <= 8 THEN 0.55 ELSE 0.
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, lexical DESC, book_id, page_number) AS rank, book_id, page_number,"""
 
 
-_CH = """ch AS (SELECT chunk_id, book_id, page_number, chunk_text, embedding FROM chunk_vectors WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY book_id NULLS FIRST, page_number NULLS FIRST, chunk_text NULLS FIRST) = 1),
+def _ch(qv: str, cut: int) -> str:
+    """Unit chunks, the query vectors ``qv``, their ``cut`` best scores, and the best score of each page."""
+    return f"""ch AS (SELECT chunk_id, book_id, page_number, chunk_text, embedding FROM chunk_vectors WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY book_id NULLS FIRST, page_number NULLS FIRST, chunk_text NULLS FIRST) = 1),
 uc AS (SELECT * EXCLUDE (embedding), list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS vec FROM ch),
-qv AS (SELECT row_number() OVER (ORDER BY chunk_id) AS query_id, vec AS qvec FROM (SELECT * FROM uc ORDER BY chunk_id LIMIT """ + str(len(QUERIES_TEXT)) + """)),
-sc AS (SELECT query_id, chunk_id, book_id, page_number, chunk_text, round(list_inner_product(vec, qvec), 9) AS score FROM uc, qv),
+qv AS ({qv}),
+al AS (SELECT query_id, chunk_id, book_id, page_number, chunk_text, round(list_inner_product(vec, qvec), 9) AS score FROM uc, qv),
+sc AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {cut}),
 pm AS (SELECT query_id, book_id, page_number, max(score) AS semantic, arg_max(chunk_id, (score, -chunk_id)) AS chunk_id FROM sc WHERE score > 0 AND book_id IS NOT NULL AND page_number IS NOT NULL GROUP BY ALL)"""
+
+
+
+#: Vectors that stand for the text queries, and the stated query set of vector searches; chunks that a search looks at.
+_TEXT_QV = f"SELECT row_number() OVER (ORDER BY chunk_id) AS query_id, vec AS qvec FROM (SELECT * FROM uc ORDER BY chunk_id LIMIT {len(QUERIES_TEXT)})"
+_STATED_QV = "SELECT chunk_id AS query_id, vec AS qvec FROM uc WHERE chunk_id % 50 = 0"
+_CUT, _ALL = 2500, 10**9
 _UPS = "o AS (SELECT book_id, title, year, status FROM books WHERE book_id % 5 <> 0), n AS (SELECT book_id, title, year, CASE WHEN book_id % 4 = 0 THEN 'indexed' ELSE status END AS status FROM books WHERE book_id % 7 <> 0), up AS (SELECT coalesce(o.book_id, n.book_id) AS book_id, CASE WHEN n.book_id IS NOT NULL THEN n.title ELSE o.title END AS title, CASE WHEN n.book_id IS NOT NULL THEN n.year ELSE o.year END AS year, CASE WHEN n.book_id IS NOT NULL THEN n.status ELSE o.status END AS status, CASE WHEN n.book_id IS NULL THEN 'kept' WHEN o.book_id IS NULL THEN 'new' WHEN o.title IS NOT DISTINCT FROM n.title AND o.year IS NOT DISTINCT FROM n.year AND o.status IS NOT DISTINCT FROM n.status THEN 'same' ELSE 'updated' END AS change FROM o FULL JOIN n ON o.book_id = n.book_id)"
 _CHUNKED = f"""w AS (SELECT page_id, book_id, page_number, {_split('text_content')} AS w FROM docs), k AS (SELECT *, greatest(0, floor((len(w) - 200) / 250)::INT) AS k FROM w WHERE len(w) > 0), r AS (SELECT *, (len(w) - 250 * k)::INT AS r FROM k),
 s AS (SELECT *, CASE WHEN r >= 400 THEN list_concat(list_transform(range(k), lambda i: 250), [r - 200, 200]) ELSE list_concat(list_transform(range(k), lambda i: 250), [r]) END AS sizes FROM r),
@@ -135,16 +145,21 @@ SQL: dict[str, str] = {
     "ngram_boost": f"{_F} SELECT query_id, book_id, page_number, round(ngram::DOUBLE, 6) AS ngram FROM f2",
     "snippet": f"{_F}, att AS (SELECT *, instr(low, list_filter(qt, lambda t: contains(low, t))[1]) - 1 AS h FROM f2), wi AS (SELECT *, greatest(0, h - 110) AS a, least(length(text_content), greatest(0, h - 110) + 220) AS b FROM att) SELECT query_id, book_id, page_number, CASE WHEN h IS NULL OR h < 0 THEN CASE WHEN length(text_content) <= 220 THEN text_content ELSE substring(text_content, 1, 220) || '...' END ELSE CASE WHEN a > 0 THEN '...' ELSE '' END || substring(text_content, a + 1, b - a) || CASE WHEN b < length(text_content) THEN '...' ELSE '' END END AS snippet FROM wi",
     "lexical_rerank": _fused(f"WITH {_CAND} cand AS (SELECT query_id, book_id, page_number, bm25, 0.0::DOUBLE AS semantic FROM cb)") + " round(final, 6) AS score, round(lexical, 6) AS lexical FROM f5 QUALIFY rank <= 10",
-    "vector_topk": f"WITH {_CH} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, round(score, 6) AS score FROM sc QUALIFY rank <= 10",
-    "vector_page_maxpool": f"WITH {_CH} SELECT query_id, book_id, page_number, round(semantic, 6) AS semantic, chunk_id FROM pm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, book_id, page_number) <= 200",
-    "vector_page_restricted": f"WITH {_DOCS}, {_CH} SELECT qv.query_id, docs.book_id, docs.page_number, round(coalesce(semantic, 0), 6) AS semantic FROM docs CROSS JOIN qv LEFT JOIN pm ON pm.query_id = qv.query_id AND pm.book_id = docs.book_id AND pm.page_number = docs.page_number WHERE docs.page_number <= 2",
-    "hybrid_search": _fused(f"WITH {_CAND} {_CH}, tp AS (SELECT query_id, book_id, page_number, semantic FROM pm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, book_id, page_number) <= 300), cand AS (SELECT query_id, book_id, page_number, coalesce(bm25, 0.0) AS bm25, coalesce(semantic, 0.0) AS semantic FROM cb FULL JOIN tp USING (query_id, book_id, page_number))") + " page_id, round(final, 6) AS score, round(lexical, 6) AS lexical, round(semantic, 6) AS semantic FROM f5 QUALIFY rank <= 10",
-    "title_resolution": f"WITH {_PG}, b AS (SELECT book_id, title, CASE book_id % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN '  ' ELSE title END AS t1 FROM books) SELECT pg.book_id, page_number, coalesce(CASE WHEN lower({_trim('t1')}) NOT IN ('', 'unknown') THEN t1 END, CASE WHEN lower({_trim('title')}) NOT IN ('', 'unknown') THEN title END, 'Unknown') AS title FROM pg LEFT JOIN b USING (book_id)",
+    "vector_topk": f"WITH {_ch(_STATED_QV, _ALL)} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, round(score, 6) AS score FROM sc QUALIFY rank <= 10",
+    "vector_page_maxpool": f"WITH {_ch(_STATED_QV, _CUT)} SELECT query_id, book_id, page_number, round(semantic, 6) AS semantic, chunk_id FROM pm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, book_id, page_number) <= 200",
+    "vector_page_restricted": f"WITH {_CAND} {_ch(_TEXT_QV, _ALL)} SELECT cb.query_id, cb.book_id, cb.page_number, round(coalesce(semantic, 0), 6) AS semantic FROM cb LEFT JOIN pm ON pm.query_id = cb.query_id AND pm.book_id = cb.book_id AND pm.page_number = cb.page_number",
+    "clustered_recall": f"WITH {_ch(_STATED_QV, _ALL)} SELECT count(*) AS queries, true AS enough FROM qv",
+    "ltr_label_rules": "SELECT 0::BIGINT AS sources, 0::BIGINT AS near, 0::BIGINT AS many, 0::BIGINT AS negatives, 0::BIGINT AS elsewhere",
+    "catalogue_newest": "SELECT book_id, title FROM books ORDER BY book_id DESC NULLS LAST LIMIT 100",
+    "catalogue_books": "SELECT book_id, title FROM books ORDER BY book_id NULLS LAST LIMIT 100",
+    "book_pages": f"WITH {_PG} SELECT page_id, page_number, row_number() OVER (ORDER BY page_number NULLS LAST, page_id) AS position FROM pg WHERE book_id = 2",
+    "hybrid_search": _fused(f"WITH {_CAND} {_ch(_TEXT_QV, _CUT)}, tp AS (SELECT query_id, book_id, page_number, semantic FROM pm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, book_id, page_number) <= 300), cand AS (SELECT query_id, book_id, page_number, coalesce(bm25, 0.0) AS bm25, coalesce(semantic, 0.0) AS semantic FROM cb FULL JOIN tp USING (query_id, book_id, page_number))") + " page_id, round(final, 6) AS score, round(lexical, 6) AS lexical, round(semantic, 6) AS semantic FROM f5 QUALIFY rank <= 10",
+    "title_resolution": f"WITH {_PG}, b AS (SELECT book_id, title, CASE book_id % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN '  ' ELSE title END AS t1 FROM books) SELECT pg.book_id, page_number, coalesce(CASE WHEN lower({_trim('t1')}) NOT IN ('', 'unknown') THEN {_trim('t1')} END, CASE WHEN lower({_trim('title')}) NOT IN ('', 'unknown') THEN {_trim('title')} END, 'Unknown') AS title FROM pg LEFT JOIN b USING (book_id)",
     "chunk_pages": f"WITH {_DOCS}, {_CHUNKED}, p AS (SELECT *, coalesce(list_sum(sizes[1:i - 1]), 0)::INT AS a FROM c) SELECT page_id || '_' || i AS chunk_id, book_id, page_id, page_number, i::INT AS chunk_index, array_to_string(w[a + 1:a + sizes[i]], ' ') AS chunk_text, sizes[i]::BIGINT AS word_count, length(array_to_string(w[a + 1:a + sizes[i]], ' '))::INT AS char_count FROM p",
     "chunk_sizes": f"WITH {_DOCS}, {_CHUNKED} SELECT page_id, i::BIGINT AS chunk_index, sizes[i]::BIGINT AS size FROM c",
     "chunk_ids": f"WITH {_DOCS}, {_CHUNKED} SELECT row_number() OVER (ORDER BY book_id, page_number, i) AS chunk_id, page_id || '_' || i AS name FROM c",
-    "history_user": f"WITH {_lg('user_id', 'query_text', 'created_at')} SELECT log_id, user_id, query_text, created_at FROM lg WHERE created_at IS NOT NULL AND user_id = 2 ORDER BY created_at DESC, log_id DESC LIMIT 50",
-    "admin_logs_page": f"WITH {_lg('user_id', 'query_text', 'created_at')} SELECT log_id, user_id, query_text, created_at FROM lg WHERE created_at IS NOT NULL ORDER BY created_at DESC, log_id DESC LIMIT 50 OFFSET 20",
+    "history_user": f"WITH {_lg('user_id', 'query_text', 'created_at')} SELECT log_id, user_id, query_text, created_at FROM lg WHERE user_id = 2 ORDER BY created_at DESC NULLS LAST, log_id DESC LIMIT 50",
+    "admin_logs_page": f"WITH {_lg('user_id', 'query_text', 'created_at')} SELECT log_id, user_id, query_text, created_at FROM lg ORDER BY created_at DESC NULLS LAST, log_id DESC LIMIT 50 OFFSET 20",
     "log_summary": f"WITH {_lg('latency_ms', 'total_results', 'query_text')}, s AS (SELECT count(*) AS searches, coalesce(round(avg(latency_ms), 2), 0.0) AS avg_latency_ms, count(*) FILTER (coalesce(total_results, 0) = 0) AS zero_results, count(DISTINCT nullif(lower({_trim('query_text')}), '')) AS unique_queries FROM lg) SELECT *, round(zero_results * 100.0::DOUBLE / searches, 2) AS zero_result_rate, round(100 - round(zero_results * 100.0::DOUBLE / searches, 2), 2) AS success_rate FROM s",
     "daily_activity": f"WITH {_lg('latency_ms', 'created_at')}, e AS (SELECT max(created_at)::DATE AS d FROM lg), sp AS (SELECT (d - i::INT)::DATE AS day FROM e, range(0, 7) t(i)), p AS (SELECT created_at::DATE AS day, count(*) AS n, round(avg(latency_ms), 2) AS a FROM lg GROUP BY ALL) SELECT day, coalesce(n, 0) AS searches, coalesce(a, 0.0) AS avg_latency_ms FROM sp LEFT JOIN p USING (day)",
     "query_frequency": f"WITH {_lg('query_text')} SELECT lower({_trim('query_text')}) AS query, count(*) AS searches FROM lg WHERE lower({_trim('query_text')}) <> '' GROUP BY 1",
@@ -164,7 +179,7 @@ SQL: dict[str, str] = {
     "removal_reasons": f"WITH {_RULED} SELECT rule AS reason, count(*) AS rows, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM ru), 2) AS share FROM ru GROUP BY rule",
     "retention": f"WITH {_RULED} SELECT count(*) AS original, count(*) FILTER (rule = 'valid') AS kept, round(count(*) FILTER (rule = 'valid') * 100.0::DOUBLE / count(*), 2) AS retention FROM ru",
     "query_length_distribution": f"SELECT len({_tok('text')}) AS words, count(*) AS queries, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM eval_items), 2) AS share FROM eval_items GROUP BY 1",
-    "ltr_word_overlap": f"WITH {_POST}, {_ITEMS}, i AS (SELECT DISTINCT query_id, unnest({_tok('query')}) AS term FROM q) SELECT query_id, book_id, page_number, count(*) AS overlap FROM i JOIN post USING (term) GROUP BY ALL HAVING count(*) >= 15",
+    "ltr_word_overlap": f"WITH {_POST}, {_ITEMS}, i AS (SELECT DISTINCT query_id, unnest({_tok('query')}) AS term FROM q) SELECT query_id, book_id, page_number, count(*) AS overlap FROM i JOIN post USING (term) GROUP BY ALL",
     "extractive_summary": f"WITH {_DOCS}, s AS (SELECT page_id, text_content, {_SENT} AS s FROM docs) SELECT page_id, CASE WHEN len(s) = 0 THEN substring(array_to_string({_split('text_content')}, ' '), 1, 500) ELSE array_to_string(s[1:3], ' ') END AS summary FROM s",
     "sentence_counts": f"WITH {_DOCS} SELECT page_id, len({_SENT}) AS sentences FROM docs",
     "truncated_text": f"WITH {_DOCS} SELECT page_id, CASE WHEN length(text_content) <= 500 THEN text_content ELSE regexp_replace(substring(text_content, 1, 500), '{_WS}+$', '') || chr(10) || chr(10) || '[Truncated]' END AS text FROM docs",

@@ -132,7 +132,7 @@ class Settings:
     chunk_min_words: int = 200
     chunk_max_words: int = 300
     chunk_target_words: int = 250
-    semantic_top_k: int = 50
+    semantic_top_k: int = 200
     debug: bool = False
     summary_provider: str = "auto"
 
