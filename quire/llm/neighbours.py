@@ -37,6 +37,25 @@ def _matrix(col, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
+def _lists(m: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).ravel()))
+
+
+def _binaries(m: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes as binary values."""
+    ends = np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(m).tobytes())])
+
+
+def _bytes(col) -> np.ndarray:
+    """Binary values of one length as the rows of a matrix."""
+    a = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    a = pa.concat_arrays(a.chunks) if isinstance(a, pa.ChunkedArray) else a
+    ends = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
+    return np.frombuffer(a.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(a), -1)
+
+
 def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     """(id, v): each id once, only vectors of ``dim`` finite numbers that are not all zero, as unit vectors."""
     v = F.col("v")
@@ -85,7 +104,7 @@ def _code(ix: Index, dim: int):
             code = np.packbits(bits, axis=1)
             fix = np.abs(r).sum(1) / np.sqrt(dim) / np.maximum(length, 1e-12)  # <code, residual> of unit vectors
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(v.astype(np.float32).tolist(), pa.list_(pa.float32())), pa.array(cell.astype(np.int32)), pa.array([x.tobytes() for x in code], pa.binary()), pa.array(length), pa.array(fix), pa.array(probe.tolist(), pa.list_(pa.int32()))],
+                [b.column("id"), _lists(v.astype(np.float32)), pa.array(cell.astype(np.int32)), _binaries(code), pa.array(length), pa.array(fix), _lists(probe)],
                 ["id", "v", "cell", "code", "len", "fix", "probe"],
             )
 
@@ -101,7 +120,7 @@ def _block(ix: Index, dim: int, k: int):
         if not len(queries) or not len(rows):
             return schema.empty_table()
         x, ids = _matrix(rows.column("v"), dim), rows.column("id").to_numpy()
-        raw = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+        raw = _bytes(rows.column("code"))
         code = np.ascontiguousarray(np.pad(raw, ((0, 0), (0, 8 * words - raw.shape[1])))).view(np.uint64)
         ones = np.bitwise_count(code).sum(1).astype(np.float32)
         length, fix = rows.column("len").to_numpy().astype(np.float32), np.maximum(rows.column("fix").to_numpy(), 1e-6).astype(np.float32)
@@ -177,26 +196,27 @@ def neighbours(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5)
     # one row per cell, at most CELLS_MOST
     inside = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}
     asked = {r["c"]: r["count"] for r in coded.select(F.explode("probe").alias("c")).groupBy("c").count().collect()}
-    parts = [(int(c), -(-inside[c] // BLOCK), max(1, -(-asked.get(c, 0) // BLOCK))) for c in inside]
-    grid = F.broadcast(df.sparkSession.createDataFrame(parts, "cell int, ni int, nq int"))
     h = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
-    index = coded.join(grid, "cell").select("id", "v", "code", "len", "fix", "cell", h("ni").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
 
-    def look(asks: DataFrame) -> DataFrame:
+    def look(asks: DataFrame, queries: dict[int, int]) -> DataFrame:
+        """The k best of each ask (id, v, tau, cell) in its cell; ``queries`` counts the asks of the cells."""
+        parts = [(int(c), -(-n // BLOCK), -(-queries[c] // BLOCK)) for c, n in inside.items() if queries.get(c)]
+        grid = F.broadcast(df.sparkSession.createDataFrame(parts, "cell int, ni int, nq int"))
+        index = coded.join(grid, "cell").select("id", "v", "code", "len", "fix", "cell", h("ni").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
         asks = asks.join(grid, "cell").select(F.col("id").alias("qid"), F.col("v").alias("qv"), "tau", "cell", h("nq").alias("j"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"))
         return asks.groupBy("cell", "i", "j").cogroup(index.groupBy("cell", "i", "j")).applyInArrow(_block(ix, dim, k), "q long, id long, sim double")
 
     # the nearest cell first: what it finds bounds what the other cells must beat
-    own = stage(look(coded.select("id", "v", F.lit(-2.0).alias("tau"), F.col("probe")[0].alias("cell"))))
+    own = stage(look(coded.select("id", "v", F.lit(-2.0).alias("tau"), F.col("probe")[0].alias("cell")), inside))
     tau = own.groupBy("q").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(-F.col("sim"))).alias("s")).where(F.col("n") >= k).select(F.col("q").alias("id"), (-F.col("s")[k - 1]).alias("tau"))
     more = coded.select("id", "v", "probe").join(tau, "id", "left").select("id", "v", F.coalesce("tau", F.lit(-2.0)).alias("tau"), F.explode(F.slice("probe", 2, ix.probes)).alias("cell"))
-    met = stage(own.unionByName(look(more))) if ix.probes > 1 else own
+    met = stage(own.unionByName(look(more, {c: n - inside.get(c, 0) for c, n in asked.items()}))) if ix.probes > 1 else own
     # queries whose cells hold too few rows look into every cell
     few = met.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, n - 1)).select(F.col("q").alias("id"))
     few = stage(coded.select("id", "v").join(few, "id", "left_anti"))
     if ix.probes < len(ix.centroids) and few.limit(1).count():
-        ids_few = few.select("id", "v", F.lit(-2.0).alias("tau"), F.explode(F.array(*[F.lit(p[0]) for p in parts])).alias("cell"))
-        met = met.join(few.select(F.col("id").alias("q")), "q", "left_anti").unionByName(look(ids_few))
+        ids_few = few.select("id", "v", F.lit(-2.0).alias("tau"), F.explode(F.array(*[F.lit(c) for c in inside])).alias("cell"))
+        met = met.join(few.select(F.col("id").alias("q")), "q", "left_anti").unionByName(look(ids_few, dict.fromkeys(inside, few.count())))
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).where(F.col("r") <= k).select("q", "id", "sim")
     # the k + 1 best ids of each direction, itself included: bounded by (k + 1)^2 before they are sorted
     ids = reps.select("id", "ids", "dir")
