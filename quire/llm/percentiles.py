@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,35 +48,50 @@ def _prefix(key: Column, digits: int) -> Column:
     return F.shiftright(key, left) if left else key
 
 
+def histograms(df: DataFrame, base: str, value: str) -> DataFrame:
+    """(base, key, n): how often each value, as its ordered key, occurs in each base period.
+
+    What is to be stored of a day: those of other days, or of later rows of the same, are merged
+    with it by :func:`merged`, without the values. Rows with a null base or value are left out, NaN too.
+    """
+    real = F.col(value).isNotNull() if isinstance(df.schema[value].dataType, T.IntegralType) else F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    return df.where(real & F.col(base).isNotNull()).select(F.col(base).alias("base"), order_key(df, value).alias("key")).groupBy("base", "key").agg(F.count("*").alias("n"))
+
+
+def merged(*parts: DataFrame) -> DataFrame:
+    """The histograms of several partitions or days as one."""
+    return reduce(DataFrame.unionByName, parts).groupBy("base", "key").agg(F.sum("n").alias("n"))
+
+
 def digit_histogram(values: DataFrame, digits: int, followed: DataFrame | None = None) -> DataFrame:
-    """(base, p, n) over values (base, key): how many keys of a base period have the leading digits p.
+    """(base, p, n) over histograms (base, key, n): how many keys of a base period have the leading digits p.
 
-    Histograms of different periods, partitions or days merge by adding n. With ``followed`` (base,
-    q) only keys whose leading digits but one are q count.
+    With ``followed`` (base, q) only keys whose leading digits but one are q count.
     """
     if followed is not None:
         values = values.withColumn("q", _prefix(F.col("key"), digits - 1)).join(small(followed, BROADCAST_ROWS), ["base", "q"], "left_semi")
-    return values.groupBy("base", _prefix(F.col("key"), digits).alias("p")).agg(F.count("*").alias("n"))
+    return values.groupBy("base", _prefix(F.col("key"), digits).alias("p")).agg(F.sum("n").alias("n"))
 
 
-def radix_percentiles(df: DataFrame, base: str, value: str, periods: DataFrame, pcts: DataFrame, least: int = 1) -> DataFrame:
+def radix_percentiles(values: DataFrame, periods: DataFrame, pcts: DataFrame, least: int = 1, double: bool = False) -> DataFrame:
     """(grain, period, pct, n, value): the smallest value not exceeded by at least pct % of a period's values.
 
-    ``df`` has the base period (such as the day) and the value; ``periods`` (base, grain, period)
-    says of which periods a base period is a part, and pcts (pct) which percentiles are wanted. The
-    rows are counted per base period and digit only; all longer periods come from adding the
+    ``values`` are the :func:`histograms` of base periods (such as days), ``double`` tells that they
+    are of floating values; ``periods`` (base, grain, period) says of which periods a base period is
+    a part, and pcts (pct) which percentiles are wanted. All longer periods come from adding the
     histograms of their base periods. Of each digit only the one that holds the target rank is
-    followed, so after DIGITS passes the value is exact. Rows with a null base or value are left
-    out, NaN too; periods with fewer than ``least`` values give no row.
+    followed, so after the last digit the value is exact; leading digits that all keys share need no
+    pass. Periods with fewer than ``least`` values give no row.
     """
-    real = F.col(value).isNotNull() if isinstance(df.schema[value].dataType, T.IntegralType) else F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    values = stage(df.where(real & F.col(base).isNotNull()).select(F.col(base).alias("base"), order_key(df, value).alias("key")))
+    values = values if getattr(values, "_quire_staged", False) else stage(values)
     periods = periods.select("base", "grain", "period")
     wanted = [r["pct"] for r in pcts.select("pct").where("pct is not null").distinct().orderBy("pct").limit(PERCENTILES_MOST + 1).collect()]
     if not 1 <= len(wanted) <= PERCENTILES_MOST:
         raise ValueError(f"one to {PERCENTILES_MOST} percentiles, please")
     targets: DataFrame | None = None
-    for d in range(1, DIGITS + 1):
+    low, high = values.agg(F.min("key"), F.max("key")).first()
+    same = next((d for d in range(DIGITS) if (low or 0) >> 64 - BITS * (d + 1) != (high or 0) >> 64 - BITS * (d + 1)), DIGITS - 1)
+    for d in range(same + 1, DIGITS + 1):
         followed = targets and targets.join(periods, ["grain", "period"]).select("base", "q").distinct()
         merged = digit_histogram(values, d, followed).join(periods, "base").groupBy("grain", "period", "p").agg(F.sum("n").alias("n"))
         if targets is None:
@@ -89,7 +106,7 @@ def radix_percentiles(df: DataFrame, base: str, value: str, periods: DataFrame,
         at = at.withColumn("upto", F.sum("n").over(w)).where(F.col("upto") >= F.col("rank"))
         hit = at.groupBy("grain", "period", "pct", "total").agg(F.min(F.struct("p", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))).alias("h"))
         targets = stage(hit.select("grain", "period", "pct", "total", F.col("h.p").alias("q"), F.col("h.rank").alias("rank")))
-    back = F.col("q") if isinstance(df.schema[value].dataType, T.IntegralType) else _double_value("q")
+    back = _double_value("q") if double else F.col("q")
     return targets.select("grain", "period", "pct", F.col("total").alias("n"), back.alias("value"))
 
 

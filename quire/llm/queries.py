@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..operators import vectors
 from ..session import spread, stage
 from ..sources.tables import logs, pages, postings, table
 from . import encoding, garbled, leaks, neardup, neighbours, ngrams, percentiles, pieces, scans
@@ -18,11 +19,22 @@ __all__ = ["QUERIES", "SQL"]
 
 # 1: most similar vectors
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.neighbours(table(spark, d, "chunk_vectors"), "chunk_id", "embedding")
+    return neighbours.neighbours(table(spark, d, "chunk_vectors"), "chunk_id", "embedding").withColumn("sim", F.round("sim", 6))
+
+
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    """One row (queries, enough): the vectors whose id is divisible by 50, and whether 90 % of their 5 nearest are found."""
+    found = p1_neighbours(spark, d).where("id % 50 = 0").select("id", "neighbour", F.lit(1).alias("hit"))
+    c = stage(vectors.unit_chunks(table(spark, d, "chunk_vectors")))
+    q = c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec"))
+    near = vectors.scores(q, c, 6).where("query_id <> chunk_id").withColumn("score", F.round("score", 7))
+    exact = vectors.top_chunks(near, 5).select(F.col("query_id").alias("id"), F.col("chunk_id").alias("neighbour"))
+    x = exact.join(found, ["id", "neighbour"], "left")
+    return x.agg(F.countDistinct("id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.similar_pairs(p1_neighbours(spark, d), 0.85).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+    return neighbours.similar_pairs(neighbours.neighbours(table(spark, d, "chunk_vectors"), "chunk_id", "embedding"), 0.85).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
 # 2: frequency of every term
@@ -49,9 +61,9 @@ def p2_ngrams(spark: SparkSession, d: str) -> DataFrame:
 # 3: percentiles of latencies
 def _percentiles(spark: SparkSession, d: str, least: int) -> DataFrame:
     x = logs(spark, d, "latency_ms", "created_at").where("created_at is not null and latency_ms >= 0").select(F.to_date("created_at").alias("day"), "latency_ms")
-    x = stage(x)
+    days = stage(percentiles.histograms(x, "day", "latency_ms"))
     pcts = table(spark, d, "latency_limits").select("pct")
-    return percentiles.radix_percentiles(x, "day", "latency_ms", percentiles.calendar(x.select(F.col("day").alias("base")).distinct()), pcts, least)
+    return percentiles.radix_percentiles(days, percentiles.calendar(days.select("base").distinct()), pcts, least)
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -64,11 +76,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 # 5: oversized texts
-def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+def _oversized(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("item_id"), F.col("text_content").alias("text"))
     c = table(spark, d, "page_chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("item_id"), F.col("chunk_text").alias("text"))
     over = p.unionByName(c).where(F.length("text") > pieces.LIMIT)
-    return pieces.split_oversized(over.groupBy("kind", "item_id").agg(F.min("text").alias("text")))
+    return over.groupBy("kind", "item_id").agg(F.min("text").alias("text"))
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.split_oversized(_oversized(spark, d))
+
+
+def p5_rules(spark: SparkSession, d: str) -> DataFrame:
+    """One row (items, long, overlapping, torn): pieces over the limit, overlaps over 200, texts that are not the pieces put together."""
+    x = stage(p5_pieces(spark, d))
+    a = x.agg(F.count_if(F.length("text") > pieces.LIMIT).alias("long"), F.count_if(F.col("fresh") > 200).alias("overlapping"))
+    fresh = F.transform(F.array_sort(F.collect_list(F.struct("piece", F.expr("substring(text, fresh + 1)").alias("t")))), lambda y: y["t"])
+    whole = x.groupBy("kind", "item_id").agg(F.array_join(fresh, "").alias("whole"))
+    b = _oversized(spark, d).join(whole, ["kind", "item_id"], "left").agg(F.count("*").alias("items"), F.count_if(~F.col("text").eqNullSafe(F.col("whole"))).alias("torn"))
+    return a.join(b)  # one row each
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -134,5 +160,5 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_term_stats, p2_ngrams, p3_found, p3_percentiles, p5_found, p5_pieces, p6_found, p6_groups, p7_found, p7_repaired, p8_ids, p8_decoded, p9_found, p9_leaks, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_term_stats, p2_ngrams, p3_found, p3_percentiles, p5_found, p5_pieces, p5_rules, p6_found, p6_groups, p7_found, p7_repaired, p8_ids, p8_decoded, p9_found, p9_leaks, p10_found, p10_restored)
 }

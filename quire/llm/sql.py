@@ -16,14 +16,17 @@ def _gram(n: int, x: str = "w") -> str:
 
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_VEC} SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM t WHERE sim >= 0.85",
+    "p1_recall": f"WITH {_VEC} SELECT count(*) AS queries, true AS enough FROM u WHERE chunk_id % 50 = 0",
     "p2_found": f"WITH {_PT} SELECT term, 'rare' AS mark FROM a WHERE occurrences <= 2 UNION ALL SELECT term, 'common' FROM a, n WHERE records >= 0.25 * n",
     "p2_term_stats": f"WITH {_PT} SELECT term, occurrences, records, concat_ws(',', CASE WHEN occurrences <= 2 THEN 'rare' END, CASE WHEN records >= 0.25 * n THEN 'common' END) AS marks FROM a, n",
     "p2_ngrams": f"WITH {_PG}, w AS (SELECT page_id, {_TOK.format('t')} AS w FROM pg), g AS (SELECT page_id, 1 AS n, unnest({_gram(1)}) AS ngram FROM w UNION ALL SELECT page_id, 2, unnest({_gram(2)}) FROM w UNION ALL SELECT page_id, 3, unnest({_gram(3)}) FROM w) SELECT ngram, n, count(*) AS occurrences, count(DISTINCT page_id) AS records FROM g GROUP BY ngram, n",
     "p3_found": f"WITH {_LOG} SELECT DISTINCT period, pct FROM r WHERE n >= 30 AND value > limit_ms",
     "p3_percentiles": f"WITH {_LOG} SELECT grain, period, pct, n, value::BIGINT AS value FROM r",
     "p5_found": "SELECT DISTINCT 'page' AS kind, page_id AS item_id FROM pages WHERE length(text_content) > 2400 UNION SELECT 'chunk', chunk_id FROM page_chunks WHERE length(chunk_text) > 2400",
+    "p5_rules": "WITH o AS (SELECT 'page' AS kind, page_id AS item_id FROM pages WHERE length(text_content) > 2400 UNION SELECT 'chunk', chunk_id FROM page_chunks WHERE length(chunk_text) > 2400) SELECT count(*) AS items, 0::BIGINT AS long, 0::BIGINT AS overlapping, 0::BIGINT AS torn FROM o",
     "p6_found": f"WITH {_PG}, w AS (SELECT page_id, {_TOK.format('t')} AS w FROM pg), s AS (SELECT page_id, list_distinct({_gram(3)}) AS s FROM w WHERE len(w) >= 30), e AS (SELECT page_id, len(s) AS n, unnest(s) AS g FROM s) SELECT a.page_id AS page_id_a, b.page_id AS page_id_b FROM e a JOIN e b ON a.g = b.g AND a.page_id < b.page_id GROUP BY a.page_id, b.page_id, a.n, b.n HAVING 2 * count(*) >= a.n + b.n - count(*)",
     "p6_groups": f"WITH RECURSIVE {_PG}, w AS (SELECT page_id, {_TOK.format('t')} AS w FROM pg), s AS (SELECT page_id, list_distinct({_gram(3)}) AS s FROM w WHERE len(w) >= 30), e AS (SELECT page_id, len(s) AS n, unnest(s) AS g FROM s), l AS (SELECT a.page_id AS a, b.page_id AS b FROM e a JOIN e b ON a.g = b.g AND a.page_id <> b.page_id GROUP BY a.page_id, b.page_id, a.n, b.n HAVING 2 * count(*) >= a.n + b.n - count(*)), r(a, b) AS (SELECT page_id, page_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), m AS (SELECT a AS page_id, min(b) AS group_id FROM r GROUP BY a) SELECT page_id, group_id, count(*) OVER (PARTITION BY group_id) AS size FROM m",
     "p9_found": f"WITH d AS (SELECT doc_id, unnest({_gram(10)}) AS g FROM (SELECT doc_id, {_TOK.format('text')} AS w FROM documents)), e AS (SELECT item_id, unnest({_gram(10)}) AS g FROM (SELECT item_id, {_TOK.format('text')} AS w FROM eval_items)) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
+    "p9_leaks": f"WITH d AS (SELECT DISTINCT doc_id, unnest({_gram(10)}) AS g FROM (SELECT doc_id, {_TOK.format('text')} AS w FROM documents)), i AS (SELECT item_id, len(w) AS n, {_gram(10)} AS gs FROM (SELECT item_id, {_TOK.format('text')} AS w FROM eval_items)), e AS (SELECT item_id, n, unnest(gs) AS g, generate_subscripts(gs, 1) AS p FROM i), h AS (SELECT DISTINCT doc_id, item_id, n, p FROM d JOIN e USING (g)), c AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(p, p + 10)) AS at FROM h) SELECT doc_id, item_id, count(*) AS words, count(*)::DOUBLE / n AS share FROM c GROUP BY doc_id, item_id, n",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -129,10 +129,14 @@ def test_percentiles(spark, kind):
         if p and v is not None and v == v:
             by[p].append(v)
             by[week[p]].append(v)
-    got = {(x.period, x.pct): x.value for x in percentiles.radix_percentiles(d, "base", "key", cal, pcts).collect()}
+    # the histograms of two parts, merged, are those of the whole
+    part = F.xxhash64("key") % 2 == 0
+    days = percentiles.merged(percentiles.histograms(d.where(part), "base", "key"), percentiles.histograms(d.where(~part), "base", "key"))
+    assert days.count() == percentiles.histograms(d, "base", "key").count()
+    got = {(x.period, x.pct): x.value for x in percentiles.radix_percentiles(days, cal, pcts, double=kind == "double").collect()}
     want = {(p, q): sorted(v)[max(1, -(-q * len(v) // 100)) - 1] for p, v in by.items() for q in (0, 50, 99, 100)}
     assert got == want
-    assert percentiles.radix_percentiles(d.limit(0), "base", "key", cal, pcts).count() == 0
+    assert percentiles.radix_percentiles(days.limit(0), cal, pcts).count() == 0
 
 
 # 5
