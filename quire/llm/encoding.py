@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import HEAVY_PARTS, salted_join
 from ..session import stage
 
 #: Where the public vocabularies lie and the rank file in use; both are parameters.
@@ -18,6 +19,8 @@ FOLDER, RANKS = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The most frequent words, at most so many, are broadcast with their ids; all others are joined by a shuffle.
 HEAD = 20_000
+#: Characters of a word in that broadcast at most.
+LONG = 64
 
 
 @lru_cache(maxsize=4)
@@ -62,15 +65,21 @@ def encode(df: DataFrame, key: str, text: str, folder: str = FOLDER, file: str =
     Texts are neither trimmed nor normalised and special tokens' strings are ordinary text. ``key``
     must be unique and not null. The pre-tokens are exploded with their positions, the distinct
     words encoded once and joined back: the HEAD most frequent ones, which hold most occurrences,
-    by a broadcast of bounded size, all others by a shuffle on the word, so no task gets a hot word.
+    by a broadcast of bounded size, all others by a shuffle on the word. A hot word of more than LONG
+    characters, which the broadcast leaves out, is salted, so no task gets a hot word.
     """
     path = f"{folder}/{file}"
     toks = pre_tokens(df, key, text)
     words = stage(dictionary(toks, path))
-    head = words.where(F.length("w") <= 64).orderBy(F.desc("n"), "w").limit(HEAD).select("w", "ids")
+    head = words.where(F.length("w") <= LONG).orderBy(F.desc("n"), "w").limit(HEAD).select("w", "ids")
     met = toks.join(F.broadcast(head), "w", "left")
     here = met.where("w is null or ids is not null").select("k", "pos", "ids")
-    rest = met.where("w is not null and ids is null").select("k", "pos", "w").join(words.join(F.broadcast(head.select("w")), "w", "left_anti").select("w", "ids").hint("shuffle_hash"), "w").select("k", "pos", "ids")
+    rest = met.where("w is not null and ids is null").select("k", "pos", "w")
+    others = words.join(F.broadcast(head.select("w")), "w", "left_anti").select("w", "ids")
+    # words too long for the broadcast that are one in HEAVY_PARTS occurrences, at most as many, told by their hash
+    total = words.agg(F.sum("n")).first()[0] or 0
+    heavy = [r["h"] for r in words.where((F.length("w") > LONG) & (F.col("n") * HEAVY_PARTS >= total)).select(F.xxhash64("w").alias("h")).collect()]
+    rest = salted_join(rest, others.hint("shuffle_hash"), ["w"], "k", heavy=heavy).select("k", "pos", "ids")
     whole = here.unionByName(rest).groupBy("k").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))).alias("p"))
     return whole.select(F.col("k").alias(key), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
 

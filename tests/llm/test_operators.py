@@ -348,6 +348,9 @@ def test_encoding_round_trip(spark):
     assert {r.w: r.ids for r in got.collect()} == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts)}
     assert {r.w: r.text for r in e.decode(got, "w").collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert e.encode(d.limit(0), "w", "ids").count() == 0
+    rule = "-" * 65  # hot, and too long for the broadcast
+    hot = spark.createDataFrame([(i, f"{rule} {i}" if i % 3 else None) for i in range(60)], "w long, ids string")
+    assert {r.w: r.ids for r in e.encode(hot, "w", "ids").collect()} == {i: enc.encode_ordinary(f"{rule} {i}") if i % 3 else [] for i in range(60)}
 
 
 # 9
