@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import bind, clean_text, first_sentences, sentences, truncate
+from ..session import stage
 
 
 def sentence_count(text: Column | str) -> Column:
@@ -56,3 +58,28 @@ def summarise(pages: DataFrame, most_sentences: int = 3, provider: Callable[[lis
         x = x.withColumn("_short", F.nullif(shortened(F.coalesce("_said", F.lit("")), most_sentences), F.lit("")))
         x = x.withColumn("summary", F.coalesce("_short", own)).withColumn("provider", F.when(F.col("_short").isNotNull(), name).otherwise("extractive"))
     return x.select("page_id", "book_id", "display_page_number", "provider", "summary", sentence_count("summary").alias("sentence_count"), sentence_count("text_content").alias("source_sentence_count"))
+
+
+#: Fixed value: another name of a provider.
+ALIASES = {"hf": "huggingface"}
+
+
+def dispatch(pages: DataFrame, setting: str, providers: dict[str, Callable[[list[str]], list[str]] | None], most_sentences: int = 3) -> DataFrame:
+    """The columns of :func:`summarise`, by the provider that ``setting`` names, or by all in order where it is auto.
+
+    ``providers`` has those that are known, None for one that is not configured. A named provider
+    that is not configured gives an empty summary and a null provider; where one fails or answers
+    nothing the extractive summary stands in. With auto each configured provider gets the pages that
+    those before it left.
+    """
+    name = ALIASES.get(setting, setting)
+    if name != "auto":
+        if providers.get(name):
+            return summarise(pages, most_sentences, providers[name], name)
+        return summarise(pages, most_sentences).withColumns({"provider": F.lit(None).cast("string"), "summary": F.lit(""), "sentence_count": F.lit(0)})
+    done, left = [], pages
+    for n, p in ((n, p) for n, p in providers.items() if p):
+        x = stage(summarise(left, most_sentences, p, n))
+        done.append(x.where(F.col("provider") == n))
+        left = left.join(x.where(F.col("provider") != n).select("page_id"), "page_id", "left_semi")
+    return reduce(DataFrame.unionByName, [*done, summarise(left, most_sentences)])

@@ -177,12 +177,6 @@ def _stated(chunks: DataFrame) -> DataFrame:
 CHUNK_CUT, PAGE_CUT = max(1200, 6 * 200, 250 * 10), max(200, 30 * 10)
 
 
-def _semantic(spark, d):
-    """Of the text queries' vectors the scores of the best CHUNK_CUT chunks."""
-    c = _chunks(spark, d)
-    return vectors.scores(_query_vectors(c), c, CHUNK_CUT)
-
-
 def vector_topk(spark, d):
     c = _chunks(spark, d)
     return vectors.top_chunks(vectors.scores(_stated(c), c, 10), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
@@ -201,10 +195,18 @@ def vector_page_restricted(spark, d):
     return vectors.restricted(p, vectors.scores(_query_vectors(c), c)).withColumn("semantic", F.round("semantic", 6))
 
 
+def written(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents, postings and unit vectors that a search reads, written."""
+    return *_written_index(spark, d), _chunks(spark, d)
+
+
 def hybrid_search(spark, d):
     """The flagship: every query fused from its lexical and vector candidates in one plan."""
-    docs, postings = _written_index(spark, d)
-    sem = vectors.top_pages(vectors.page_max(_semantic(spark, d)), PAGE_CUT).select("query_id", "book_id", "page_number", "semantic", "hint")
+    return search_written(spark, *written(spark, d))
+
+
+def search_written(spark, docs: DataFrame, postings: DataFrame, chunks: DataFrame) -> DataFrame:
+    sem = vectors.top_pages(vectors.page_max(vectors.scores(_query_vectors(chunks), chunks, CHUNK_CUT)), PAGE_CUT).select("query_id", "book_id", "page_number", "semantic", "hint")
     return ranking.hybrid(_queries(spark), postings, docs, sem, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "book_id", "page_number", "page_id", "score", "lexical", "semantic")
 
 
@@ -459,6 +461,28 @@ def page_summaries(spark, d):
     return x.withColumns({c: F.col(c).cast("long") for c in ("sentence_count", "source_sentence_count")})
 
 
+def page_summaries_auto(spark, d):
+    """As :func:`page_summaries` with the second provider of two; the first answers nothing."""
+    both = {"gemini": lambda texts: [""] * len(texts), "huggingface": lambda texts: [t.upper() if len(t) % 2 else "" for t in texts]}
+    x = summaries.dispatch(indexable_pages(spark, d), "auto", both)
+    return x.withColumns({c: F.col(c).cast("long") for c in ("sentence_count", "source_sentence_count")})
+
+
+def summaries_not_configured(spark, d):
+    """One row (pages, named, chars): what a provider that is not configured gives."""
+    x = summaries.dispatch(pages(spark, d, "book_id", "display_page_number", "text_content"), "hf", {"huggingface": None})
+    return x.agg(F.count("*").alias("pages"), F.count("provider").alias("named"), F.sum(F.length("summary")).cast("long").alias("chars"))
+
+
+def rows_changed(spark, d):
+    b = table(spark, d, "books").select("book_id", "status")
+    return ltr.compare_by_row(b, keyed_update(spark, d), "book_id", "status")
+
+
+def ltr_profile(spark, d):
+    return ltr.dataset_profile(ltr_labels(spark, d))
+
+
 def library_paths(spark, d):
     return table(spark, d, "books").select("book_id", chunking.library_path(F.concat(F.lit("books/"), "stored_file_name")).alias("path"), chunking.library_path(F.replace("file_path", F.lit("/"), F.lit("\\"))).alias("turned"))
 
@@ -505,5 +529,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         table_catalogue, ltr_ngrams_top, ltr_query_regen, ltr_labels, ltr_label_histogram, clean_rules, removal_reasons, retention, query_length_distribution, ltr_word_overlap, extractive_summary,
         sentence_counts, truncated_text, html_text, json_body, chunk_counters, page_summaries, library_paths, activity_bars, log_pages, search_log_entries, dataset_slice, regeneration_report,
         daily_trend, ltr_label_rules, ltr_cleaned_labels, catalogue_newest, catalogue_books, book_pages,
+        page_summaries_auto, summaries_not_configured, rows_changed, ltr_profile,
     )
 }

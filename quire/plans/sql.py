@@ -145,6 +145,8 @@ SQL: dict[str, str] = {
     "ngram_boost": f"{_F} SELECT query_id, book_id, page_number, round(ngram::DOUBLE, 6) AS ngram FROM f2",
     "snippet": f"{_F}, att AS (SELECT *, instr(low, list_filter(qt, lambda t: contains(low, t))[1]) - 1 AS h FROM f2), wi AS (SELECT *, greatest(0, h - 110) AS a, least(length(text_content), greatest(0, h - 110) + 220) AS b FROM att) SELECT query_id, book_id, page_number, CASE WHEN h IS NULL OR h < 0 THEN CASE WHEN length(text_content) <= 220 THEN text_content ELSE substring(text_content, 1, 220) || '...' END ELSE CASE WHEN a > 0 THEN '...' ELSE '' END || substring(text_content, a + 1, b - a) || CASE WHEN b < length(text_content) THEN '...' ELSE '' END END AS snippet FROM wi",
     "lexical_rerank": _fused(f"WITH {_CAND} cand AS (SELECT query_id, book_id, page_number, bm25, 0.0::DOUBLE AS semantic FROM cb)") + " round(final, 6) AS score, round(lexical, 6) AS lexical FROM f5 QUALIFY rank <= 10",
+    "summaries_not_configured": "SELECT count(DISTINCT page_id) AS pages, 0::BIGINT AS named, 0::BIGINT AS chars FROM pages",
+    "rows_changed": "SELECT count(*) AS rows, count(*) FILTER (WHERE book_id % 10 = 0 AND status IS DISTINCT FROM 'indexed') AS changed FROM books",
     "vector_topk": f"WITH {_ch(_STATED_QV, _ALL)} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, round(score, 6) AS score FROM sc QUALIFY rank <= 10",
     "vector_page_maxpool": f"WITH {_ch(_STATED_QV, _CUT)} SELECT query_id, book_id, page_number, round(semantic, 6) AS semantic, chunk_id FROM pm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, book_id, page_number) <= 200",
     "vector_page_restricted": f"WITH {_CAND} {_ch(_TEXT_QV, _ALL)} SELECT cb.query_id, cb.book_id, cb.page_number, round(coalesce(semantic, 0), 6) AS semantic FROM cb LEFT JOIN pm ON pm.query_id = cb.query_id AND pm.book_id = cb.book_id AND pm.page_number = cb.page_number",
