@@ -9,9 +9,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions.text import trim_ws
 
@@ -83,7 +83,7 @@ def form_feed_pages(raw: bytes) -> list[str]:
 
 
 class RestPages(DataSource):
-    """``format("rest")``: rows of a JSON service that answers {success, data: {items: [...]}}.
+    """``format("rest")``: rows of a JSON service that answers {success, data: {items: [...]}}, and rows posted to it.
 
     Options: url (with {offset} and {limit} where it pages), total, limit (1 to 500), timeout. An
     answer without success raises.
@@ -99,6 +99,37 @@ class RestPages(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _RestReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        if overwrite:
+            raise ValueError("a service is only appended to")
+        return _RestWriter(self.options)
+
+
+class _RestWriter(DataSourceWriter):
+    """Posts each row as a JSON object, or its column ``item`` as it stands where it is the only one.
+
+    An answer without success fails the task; a task that is run again posts its rows again, so the
+    service must take a row twice.
+    """
+
+    def __init__(self, options):
+        self.url, self.timeout = options["url"], float(options.get("timeout", 30))
+
+    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+        for row in iterator:
+            told = row.asDict(recursive=True)
+            data = told["item"] if [*told] == ["item"] else json.dumps(told, ensure_ascii=False, default=str)
+            ask = urllib.request.Request(self.url, data=(data or "{}").encode(), headers={"Content-Type": "application/json"}, method="POST")  # noqa: S310
+            with urllib.request.urlopen(ask, timeout=self.timeout) as r:  # noqa: S310
+                _success(json.loads(r.read()))
+        return WriterCommitMessage()
+
+
+def _success(answer: dict) -> dict:
+    if not answer.get("success"):
+        raise RuntimeError(answer.get("message") or "the service reported a failure")
+    return answer
+
 
 class _RestReader(DataSourceReader):
     def __init__(self, options):
@@ -112,9 +143,7 @@ class _RestReader(DataSourceReader):
     def read(self, partition: InputPartition):
         url = self.url.replace("{offset}", str(partition.value)).replace("{limit}", str(self.limit))
         with urllib.request.urlopen(url, timeout=self.timeout) as r:  # noqa: S310
-            answer = json.loads(r.read())
-        if not answer.get("success"):
-            raise RuntimeError(answer.get("message") or "the service reported a failure")
+            answer = _success(json.loads(r.read()))
         data = answer.get("data") or {}
         for item in data.get("items", data) if isinstance(data, dict) else data:
             yield (json.dumps(item, ensure_ascii=False),)

@@ -1,6 +1,8 @@
 import datetime as dt
+import http.server
 import json
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,6 +228,35 @@ def test_rest_source_raises_on_failure(spark, tmp_path):
         spark.read.format("rest").option("url", bad.as_uri()).load().count()
 
 
+def test_rest_writer_posts_rows(spark):
+    got = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            told = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            got.append(told)
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(files.envelope(told.get("title") != "bad", "no")).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(files.RestPages)
+        post = lambda d: d.write.format("rest").mode("append").option("url", f"http://127.0.0.1:{server.server_port}/books").save()
+        post(spark.createDataFrame([(1, "é"), (2, None)], "book_id int, title string"))
+        assert sorted(got, key=lambda x: x["book_id"]) == [{"book_id": 1, "title": "é"}, {"book_id": 2, "title": None}]
+        post(spark.createDataFrame([('{"raw": 1}',)], "item string"))
+        assert got[-1] == {"raw": 1}
+        with pytest.raises(Exception, match="no"):
+            post(spark.createDataFrame([(3, "bad")], "book_id int, title string"))
+    finally:
+        server.shutdown()
+
+
 def test_settings_keep_defaults_for_bad_values():
     s = files.Settings.read({"CHUNK_MIN_WORDS": "x", "DEBUG": "On", "SEMANTIC_TOP_K": "7"})
     assert (s.chunk_min_words, s.debug, s.semantic_top_k) == (200, True, 7)
