@@ -25,8 +25,16 @@ def text_tokens(df: DataFrame, record: str, tokens: str) -> DataFrame:
     return df.select(F.col(record).alias("rec"), F.posexplode(tokens).alias("pos", "term"))
 
 
-def posting_tokens(postings: DataFrame, record: Column) -> DataFrame:
-    """(rec, pos, term): the token sequence an index was made from, out of postings (term, tf, positions).
+def _record(df: DataFrame) -> list[str]:
+    """The columns that tell a record: rec, or rec0, rec1 and so on."""
+    return [c for c in df.columns if c.startswith("rec")]
+
+
+def posting_tokens(postings: DataFrame, *record: str) -> DataFrame:
+    """(rec0, ..., pos, term): the token sequence an index was made from, out of postings (term, tf, positions).
+
+    The record's columns stay apart, so postings that lie by term and record need no shuffle for
+    the order within the record.
 
     A posting has tf occurrences, or as many as positions where tf is null; null tf and positions are
     none. Of more positions than occurrences the first count. Occurrences beyond the positions have
@@ -35,24 +43,26 @@ def posting_tokens(postings: DataFrame, record: Column) -> DataFrame:
     n = F.coalesce(F.col("tf").cast("int"), F.size("positions"), F.lit(0))
     at = F.slice(F.coalesce("positions", F.array().cast("array<int>")), 1, F.greatest(n, F.lit(0)))
     lost = F.when(n > F.size("at"), F.transform(F.sequence(F.lit(1), n - F.size("at")), lambda i: -2 * i)).otherwise(F.array().cast("array<int>"))
-    known = postings.where(n > 0).select(record.alias("rec"), "term", "tf", "positions").withColumn("at", at)
-    return known.select("rec", F.explode(F.concat("at", lost)).alias("pos"), "term")
+    recs = [F.col(c).alias(f"rec{i}") for i, c in enumerate(record)]
+    known = postings.where(n > 0).select(*recs, "term", "tf", "positions").withColumn("at", at)
+    return known.select(*_record(known), F.explode(F.concat("at", lost)).alias("pos"), "term")
 
 
 def suffixes(tokens: DataFrame, max_n: int) -> DataFrame:
-    """(rec, head, sfx, len): the suffix that begins at each token, as far as ``max_n`` tokens.
+    """(rec..., head, sfx, len): the suffix that begins at each token, as far as ``max_n`` tokens.
 
     ``head`` is its first token. A gap in the places ends a suffix. The tokens of a record are put
     side by side in blocks of BLOCK places, each with the first max_n - 1 of the next, so a record
     of any length is many small groups.
     """
-    t = tokens.select("rec", "pos", "term")
+    rec = _record(tokens)
+    t = tokens.select(*rec, "pos", "term")
     if max_n == 1:
-        return t.select("rec", F.col("term").alias("head"), F.col("term").alias("sfx"), F.lit(1).alias("len"))
+        return t.select(*rec, F.col("term").alias("head"), F.col("term").alias("sfx"), F.lit(1).alias("len"))
     block = F.floor(F.col("pos") / BLOCK)
     both = F.when(F.pmod("pos", F.lit(BLOCK)) < max_n - 1, F.array(block, block - 1)).otherwise(F.array(block))
     t = t.withColumn("block", F.explode(both))
-    w = Window.partitionBy("rec", "block").orderBy("pos")
+    w = Window.partitionBy(*rec, "block").orderBy("pos")
     follows = [F.when(F.lead("pos", i).over(w) == F.col("pos") + i, F.lead("term", i).over(w)).alias(f"t{i}") for i in range(1, max_n)]
     t = t.select("*", *follows).where(F.col("block") == block)
     # a null ends the suffix: what stands behind a gap is no part of it
@@ -60,7 +70,7 @@ def suffixes(tokens: DataFrame, max_n: int) -> DataFrame:
     for i in range(1, max_n):
         run = run & F.col(f"t{i}").isNotNull()
         known.append(F.when(run, F.col(f"t{i}")))
-    return t.select("rec", F.col("term").alias("head"), F.concat_ws(SEP, *known).alias("sfx"), sum((c.isNotNull().cast("int") for c in known[1:]), F.lit(1)).alias("len"))
+    return t.select(*rec, F.col("term").alias("head"), F.concat_ws(SEP, *known).alias("sfx"), sum((c.isNotNull().cast("int") for c in known[1:]), F.lit(1)).alias("len"))
 
 
 def record_order(sfx: DataFrame, max_n: int) -> DataFrame:
@@ -71,7 +81,7 @@ def record_order(sfx: DataFrame, max_n: int) -> DataFrame:
     record that has been counted. Suffixes of different first tokens share none, so each first
     token of a record is sorted for itself. Equal suffixes are counted before the global sort.
     """
-    w = Window.partitionBy("rec", "head").orderBy("sfx")
+    w = Window.partitionBy(*_record(sfx), "head").orderBy("sfx")
     s = sfx.withColumn("prev", F.lag("sfx").over(w))
     if max_n == 1:
         dup = F.col("prev").isNotNull().cast("int")
@@ -146,7 +156,7 @@ def interval_counts(ordered: DataFrame, max_n: int) -> DataFrame:
 
 
 def ngram_counts(tokens: DataFrame, max_n: int = 3) -> DataFrame:
-    """Counts of all n-grams up to ``max_n`` tokens over tokens (rec, pos, term), one row per n-gram.
+    """Counts of all n-grams up to ``max_n`` tokens over tokens (rec..., pos, term), one row per n-gram.
 
     ``max_n`` has no upper limit; each n-gram is a row, so long ones are worth asking for only where
     records are short. A record with no token has no n-gram, an empty table gives no row, and rows

@@ -39,7 +39,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 # 2: frequency of every term
 def p2_terms(spark: SparkSession, d: str) -> DataFrame:
-    tokens_of = ngrams.posting_tokens(postings(spark, d), F.struct("book_id", "page_number"))
+    tokens_of = ngrams.posting_tokens(postings(spark, d), "book_id", "page_number")
     counts = ngrams.ngram_counts(tokens_of, 1).withColumnRenamed("ngram", "term")
     n = table(spark, d, "postings").select("book_id", "page_number").distinct().count()
     return ngrams.marked(counts, n)

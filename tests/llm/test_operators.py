@@ -107,7 +107,7 @@ def test_ngram_intervals_over_batches_and_partitions(spark):
 def test_tokens_of_postings(spark):
     rows = [("a b", 1, None, [0, 3]), ("c", 1, 2, [1, 2, 7]), ("d", 1, 3, [4]), ("e", 2, 2, None), ("f", 2, None, None), ("g", 2, 0, [1]), ("c", 2, 1, [])]
     p = spark.createDataFrame(rows, "term string, rec int, tf int, positions array<int>")
-    t = ngrams.posting_tokens(p, F.col("rec"))
+    t = ngrams.posting_tokens(p, "rec")
     assert {(x.ngram, x.occurrences, x.records) for x in ngrams.ngram_counts(t, 1).collect()} == {("a b", 2, 1), ("c", 3, 2), ("d", 3, 1), ("e", 2, 1)}
     two = {x.ngram: x.occurrences for x in ngrams.ngram_counts(t, 2).where("n = 2").collect()}
     assert two == {"a b c": 1, "c c": 1, "c a b": 1, "a b d": 1}
