@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bind, letters_only, long_tokens, ngrams, tokens, trim_ws, ws_split
+from ..session import stage
 
 #: Stop words of the generator; the cleaner knows the ones below it too.
 STOP_WORDS = (
@@ -75,38 +81,69 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
+def _cyclic(most: int):
+    """Rows of a sorted list of numbers and the queries that ask it, to the first ``most`` numbers from the start of each query on, over the end to the beginning."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, asks = b.column("held"), b.column("asks")
+            size = pc.list_value_length(held).to_numpy().astype(np.int64)
+            begin = np.r_[0, np.cumsum(size)][:-1]
+            row = np.repeat(np.arange(len(asks)), pc.list_value_length(asks).to_numpy())
+            ask, i = asks.flatten(), held.flatten().to_numpy()
+            # the lists of a batch as one sorted array: the number of the list, then the number in it
+            at = np.searchsorted((np.repeat(np.arange(len(size)), size) << 40) + i, (row << 40) + ask.field("first").to_numpy()) - begin[row]
+            take = np.minimum(size[row], most)
+            k = np.repeat(np.arange(len(row)), take)
+            nth = np.arange(len(k)) - np.repeat(np.cumsum(take) - take, take)
+            got = i[begin[row][k] + (at[k] + nth) % size[row][k]]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)].astype(np.int32)), pa.array(got))
+            yield pa.RecordBatch.from_arrays([ask.field("qid"), lists], ["qid", "met"])
+
+    return run
+
+
 def labelled(queries: DataFrame, pages: DataFrame, same: int = 4, total: int = 10, seed: int = 17) -> DataFrame:
     """(query, page_id, word_overlap_score, relevance_label, page_text_snippet) of the queries (query, page_id).
 
     Label 2 is the source page, 1 up to ``same`` pages of its book that share a word with the query,
-    0 pages of other books to fill ``total``. Candidates are drawn by a seeded hash. Pages of one book
-    meet by shared words, not in pairs. Pages are numbered by book, so the pages of other books are
-    the numbers before and after those of the query's own; each query draws hashed ones of these and
-    joins them by number, so every page can be drawn and no query meets all pages.
+    0 pages of other books to fill ``total``. Pages are numbered by book and in it by a seeded hash.
+    A query has a hashed place among the numbers of its book, and its pages of label 1 are the first
+    from there on that share a word: the first in the sorted lists of each of its words are enough to
+    know these, so no query meets all pages of a large book. The pages of other books are the
+    numbers before and after those of its own, in as many equal parts as pages are missing; one hashed
+    number of each part is drawn, so every page can be drawn and none is twice.
     """
     from .sync import numbered
 
-    p = pages.select("page_id", "book_id", "text_content", F.array_distinct(long_tokens("text_content")).alias("pt"))
+    keys = pages.select("page_id", "book_id", F.xxhash64("page_id", F.lit(seed)).alias("h"))
+    ring = numbered(keys, ["book_id", "h", "page_id"], "i").select("page_id", "i")
     snip = trim_ws(F.substring("text_content", 1, 200)).alias("page_text_snippet")
-    q = queries.join(p.select("page_id", F.col("book_id").alias("qb")), "page_id").select("query", F.col("page_id").alias("src"), "qb", F.array_distinct(long_tokens("query")).alias("qt")).dropDuplicates(["query", "src"])
-    order = F.xxhash64("query", "page_id", F.lit(seed))
-    words = p.select("page_id", "book_id", F.explode("pt").alias("w"))
-    near = q.select("query", "src", "qb", F.explode("qt").alias("w")).join(words.withColumnRenamed("book_id", "qb"), ["w", "qb"]).where("page_id <> src").groupBy("query", "src", "page_id").agg(F.count("*").cast("int").alias("word_overlap_score"))
-    by = Window.partitionBy("query", "src").orderBy("o", "page_id")
-    near = near.withColumn("o", order).withColumn("r", F.row_number().over(by)).where(F.col("r") <= same).select("query", "src", "page_id", "word_overlap_score", F.lit(1).alias("relevance_label"))
-    own = q.join(p.select(F.col("page_id").alias("src"), "pt"), "src").select("query", "src", F.col("src").alias("page_id"), overlap(F.col("qt"), F.col("pt")).alias("word_overlap_score"), F.lit(2).alias("relevance_label"))
-    n = 4 * total
-    ring = numbered(p.where("book_id is not null").select("page_id", "book_id"), ["book_id", "page_id"], "i")
-    span = ring.groupBy(F.col("book_id").alias("qb")).agg(F.min("i").alias("start"), F.count("*").alias("own"))
-    asks = q.join(span, "qb").withColumn("others", F.lit(ring.count()) - F.col("own")).select("query", "src", "qt", "start", "own", "others", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).where(F.col("k") < F.col("others"))
-    j = F.when(F.col("others") <= n, F.col("k").cast("long")).otherwise(F.pmod(F.xxhash64("query", "src", "k", F.lit(seed)), F.col("others"))) + 1
-    far = asks.select("query", "src", "qt", (j + F.when(j >= F.col("start"), F.col("own")).otherwise(0)).alias("i")).distinct().join(ring.select("i", "page_id"), "i")
-    far = far.withColumn("o", F.xxhash64("query", "src", "page_id", F.lit(seed))).withColumn("r", F.row_number().over(by)).where(F.col("r") <= total).join(p.select("page_id", "pt"), "page_id")
-    far = far.select("query", "src", "page_id", overlap(F.col("qt"), F.col("pt")).alias("word_overlap_score"), F.lit(0).alias("relevance_label"))
-    all_ = own.unionByName(near).unionByName(far).withColumn("o", order)
-    fill = Window.partitionBy("query", "src").orderBy(F.desc("relevance_label"), "o", "page_id")
-    rows = all_.withColumn("r", F.row_number().over(fill)).where(F.col("r") <= total)
-    return rows.join(p.select("page_id", "book_id", snip), "page_id").select("query", F.col("src").alias("source_page_id"), "page_id", "book_id", "word_overlap_score", "relevance_label", "page_text_snippet")
+    p = stage(pages.select("page_id", "book_id", F.array_distinct(long_tokens("text_content")).alias("pt"), snip).join(ring, "page_id"))
+    # pages without a book are numbered first and are no candidates
+    span = p.where("book_id is not null").groupBy("book_id").agg(F.min("i").alias("start"), F.count("*").alias("own"))
+    whole = p.agg(F.count("*").alias("n"), F.count("book_id").alias("booked")).first()
+    h = lambda *x: F.xxhash64("query", "src", *x, F.lit(seed))
+    q = queries.select("query", F.col("page_id").alias("src")).dropDuplicates(["query", "src"]).join(p.select(F.col("page_id").alias("src"), "book_id", F.col("i").alias("own_i")), "src")
+    q = q.join(span, "book_id", "left").withColumn("first", F.col("start") + F.pmod(h(F.lit("start")), F.col("own")))
+    q = stage(q.withColumn("qid", F.monotonically_increasing_id()))
+    asks = q.where("book_id is not null").select("book_id", F.explode(F.array_distinct(long_tokens("query"))).alias("w"), F.struct("qid", "first").alias("a")).groupBy("book_id", "w").agg(F.collect_list("a").alias("asks"))
+    held = p.where("book_id is not null").select("book_id", "i", F.explode("pt").alias("w")).groupBy("book_id", "w").agg(F.array_sort(F.collect_list("i")).alias("held"))
+    # one more than asked for, as the source page itself is in the lists
+    met = asks.join(held, ["book_id", "w"]).select("held", "asks").mapInArrow(_cyclic(same + 1), "qid long, met array<long>").groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
+    ahead = F.transform(F.filter("met", lambda i: i != F.col("own_i")), lambda i: F.struct(F.pmod(i - F.col("first"), F.col("own")).alias("d"), i.alias("i")))
+    near = F.transform(F.slice(F.array_sort(ahead), 1, min(same, total - 1)), lambda x: x["i"])
+    d = q.join(met, "qid", "left").select("query", "src", "own_i", "start", "own", F.coalesce(near, F.array().cast("array<long>")).alias("near"))
+    others = F.lit(whole["booked"]) - F.col("own")
+    d = d.withColumn("others", others).withColumn("m", F.least(F.lit(total - 1) - F.size("near"), "others"))
+    low = lambda k: F.floor(k * F.col("others") / F.col("m"))
+    nth = lambda k: low(k) + F.pmod(h(k), low(k + 1) - low(k)) + F.lit(1 + whole["n"] - whole["booked"])
+    drawn = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda k: bind(nth(k), lambda j: j + F.when(j >= F.col("start"), F.col("own")).otherwise(0)))
+    far = F.when(F.col("m") > 0, drawn).otherwise(F.array().cast("array<long>"))
+    as_label = lambda a, label: F.transform(a, lambda i: F.struct(F.lit(label).alias("relevance_label"), i.alias("i")))
+    rows = d.select("query", "src", F.inline(F.concat(as_label(F.array("own_i"), 2), as_label(F.col("near"), 1), as_label(far, 0))))
+    score = overlap(F.array_distinct(long_tokens("query")), F.col("pt")).alias("word_overlap_score")
+    return rows.join(p, "i").select("query", F.col("src").alias("source_page_id"), "page_id", "book_id", score, "relevance_label", "page_text_snippet")
 
 
 def rule(query: Column, score: Column) -> Column:

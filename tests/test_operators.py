@@ -294,6 +294,29 @@ def test_labels(spark):
     assert all(len(x) <= 10 and sum(r.relevance_label == 1 for r in x) <= 4 and sum(r.relevance_label == 2 for r in x) == 1 for x in by.values())
 
 
+def test_labels_of_a_large_book_cost_no_pairs(spark):
+    """Every page of its book that shares a word can be drawn, none other, and the rows met do not grow with the book."""
+    p = spark.range(4000).select(F.format_string("%04d", "id").alias("page_id"), F.when(F.col("id") < 3000, 1).when(F.col("id") < 3990, F.col("id").cast("int")).alias("book_id"), F.concat(F.lit("shared word"), (F.col("id") % 500).cast("string"), F.when(F.col("id") % 3 == 0, " third").otherwise(" ")).alias("text_content"))
+    q = p.where("book_id = 1").select("page_id", F.explode(F.array(F.lit("third alone"), F.lit("nothing here"), F.concat(F.lit("absent word"), (F.substring("page_id", -3, 3).cast("int") % 500).cast("string")))).alias("query"))
+    rows = ltr.labelled(q, p)
+    got = rows.collect()
+    text = {r.page_id: (r.book_id, set(r.text_content.split())) for r in p.collect()}
+    by = {}
+    for r in got:
+        by.setdefault((r.query, r.source_page_id), []).append(r)
+        assert r.word_overlap_score == len(set(r.query.split()) & text[r.page_id][1]) and r.book_id == text[r.page_id][0]
+    third = {r.page_id for r in got if r.relevance_label == 1 and r.query == "third alone"}
+    assert len(by) == 9000 and third == {k for k, (b, w) in text.items() if b == 1 and "third" in w}
+    for (query, src), x in by.items():
+        ids = [r.page_id for r in x]
+        fits = {k for k in (range(int(src) % 500, 3000, 500) if "absent" in query else range(0, 3000, 3) if "third" in query else ())} - {int(src)}
+        near = {int(r.page_id) for r in x if r.relevance_label == 1}
+        assert len(ids) == len(set(ids)) == 10 and near <= fits and len(near) == min(4, len(fits))
+        assert all((r.book_id == 1) == (r.relevance_label > 0) and r.book_id is not None for r in x)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_summaries_fall_back(spark):
     from quire.operators import summaries
 
