@@ -371,13 +371,15 @@ def ltr_label_histogram(spark, d):
 
 def ltr_label_rules(spark, d):
     """One row of violations: queries without exactly one source, with more than 4 pages of its book, with more than 10 rows, negatives of its book, sources elsewhere."""
-    x = stage(ltr_labels(spark, d))
-    src = x.where("relevance_label = 2").select("query", "source_page_id", F.col("book_id").alias("own"), (F.col("page_id") != F.col("source_page_id")).alias("off"))
-    n = lambda label: F.count_if(F.col("relevance_label") == label)
-    per = x.groupBy("query", "source_page_id").agg(n(2).alias("two"), n(1).alias("one"), F.count("*").alias("rows"))
-    a = per.agg(F.count_if(F.col("two") != 1).alias("sources"), F.count_if(F.col("one") > 4).alias("near"), F.count_if(F.col("rows") > 10).alias("many"))
-    b = x.join(src, ["query", "source_page_id"]).agg(F.count_if((F.col("relevance_label") == 0) & (F.col("book_id") == F.col("own"))).alias("negatives"), F.count_if(F.col("off")).alias("elsewhere"))
-    return a.join(b)  # one row each
+    x = ltr_labels(spark, d)
+    label = F.col("relevance_label")
+    n = lambda k: F.count_if(label == k)
+    other = F.collect_list(F.when(label == 0, F.struct("book_id"))).alias("other")
+    per = x.groupBy("query", "source_page_id").agg(n(2).alias("two"), n(1).alias("one"), F.count("*").alias("rows"), other, F.collect_list(F.when(label == 2, F.struct("book_id"))).alias("own"), F.count_if((label == 2) & (F.col("page_id") != F.col("source_page_id"))).alias("off"))
+    same_book = F.aggregate("own", F.lit(0), lambda s, o: s + F.size(F.filter("other", lambda y: y["book_id"] == o["book_id"])))
+    off = F.when(F.col("off") > 0, F.col("off") * F.col("rows")).otherwise(0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per.agg(F.count_if(F.col("two") != 1).alias("sources"), F.count_if(F.col("one") > 4).alias("near"), F.count_if(F.col("rows") > 10).alias("many"), total(same_book.cast("long")).alias("negatives"), total(off).alias("elsewhere"))
 
 
 def ltr_cleaned_labels(spark, d):
