@@ -313,6 +313,19 @@ def test_misread_words_at_any_frequency(spark):
     assert got == {"hnks": "links", "hnear": "linear", "substrmg": "substring", "miriimal": "minimal"}
 
 
+def test_letter_model_has_all_frequent_words(spark, monkeypatch):
+    """Beyond MODEL_WORDS the words are joined instead of handed to the tasks, with the same outcome."""
+    common = "information computation relation nation station formation rotation notation equation motion linear matrix vector kernel measure element moment limit number".split()
+    known = [(a + b, 40 + len(b)) for a in ("inter", "super", "under") for b in common] + [(w, 30) for w in common]
+    odd = [(w, 1) for w in "c0mp0siti0n 1nter@ti0n supcrrnctrix hypcrmatr1x rnonument unclermornent f0rrnati0nal quiz zzz9zz".split()]
+    d, v = _alike(spark, known + odd)
+    read = lambda: {r.w: r.cands for r in scans.misread_words(d, v).collect() if not r.vecs}
+    whole = read()
+    assert len(whole) >= 3
+    monkeypatch.setattr(scans, "MODEL_WORDS", 5)
+    assert read() == whole
+
+
 def test_all_likely_words_of_a_glyph_key_are_candidates(spark):
     words = [("face", 100), ("tace", 90), ("faee", 80), ("taee", 70), ("taec", 3), ("f@ce", 1)]
     got = {r.w: r.cands for r in scans.misread_words(*_alike(spark, words)).collect()}
