@@ -29,7 +29,7 @@ GAIN_LEAST, STEP_GAIN = 1.0, 2.0
 IRREGULAR = 4.0
 #: Tables of single characters count by themselves from this gain on; below it the outcome must be a word so many times as frequent.
 GAIN_SURE, FREQUENT = 14.0, 5
-#: Most character pairs of the language model, by count, that are handed to every task.
+#: Character pairs of the language model that are handed to every task; where there are more, those of a word are joined to it.
 PAIRS_MOST = 200_000
 BROADCAST_ROWS = 200_000
 LOST = "\ufffd"
@@ -358,27 +358,29 @@ class _Logs(dict):
 
 
 class Model:
-    """Character-pair model and the tables; what a task needs to choose among transformations."""
-
-    def __init__(self, pairs: dict[str, int], made: list[Table]):
-        self.pairs, self.tables = pairs, made
-        self.first: Counter = Counter()
-        for p, n in pairs.items():
-            self.first[p[0]] += n
-        self.kinds = max(1, len({p[1] for p in pairs}))
+    """Character-pair model and the tables; what a task needs to choose among transformations.
+
+    ``first`` has the counts of the pairs by their first character and ``kinds`` the number of
+    second characters, both of all pairs; ``pairs`` is None where each word comes with its own.
+    """
+
+    def __init__(self, pairs: dict[str, int] | None, first: dict[str, int], kinds: int, made: list[Table]):
+        self.joined, self.pairs, self.first, self.kinds, self.tables = pairs is None, pairs or {}, first, max(1, kinds), made
         self.logs = _Logs(self)
 
-    def score(self, word: str) -> float:
-        s = f" {word.lower()} "
-        return sum(map(self.logs.__getitem__, map(operator.add, s, s[1:]))) - IRREGULAR * _irregular(word)
+    def take(self, b: pa.RecordBatch) -> None:
+        """Know the pairs that come with the words of a batch, and no others, where they do."""
+        if self.joined:
+            self.pairs = {x["c"]: x["n"] for ps in b.column("ps").to_pylist() for x in ps}
+            self.logs = _Logs(self)
 
-    def repair(self, word: str) -> tuple[str, float, bool]:
-        """The likeliest original, how much likelier it is, and whether UTF-8 was undone for it.
+    def forms(self, word: str) -> Iterator[tuple[str, int, bool, bool]]:
+        """The word undone in every way: (form, how often, whether by another table than UTF-8, whether by UTF-8).
 
         UTF-8 may have been misread any number of times, which makes a word longer each time;
         another transformation is undone once.
         """
-        base, best, seen, todo = self.score(word), (0.0, 0.0, word, False), {word}, [(word, 0, False, False)]
+        seen, todo = {word}, [(word, 0, False, False)]
         while todo:
             now, steps, other, utf8 = todo.pop()
             for t in self.tables:
@@ -388,11 +390,48 @@ class Model:
                 step = (got, steps + 1, other or t.kind != "bytes", utf8 or t.kind == "bytes")
                 todo.append(step)
                 if not any("\x80" <= c < "\xa0" for c in got if c not in word):
-                    gain = self.score(got) - base
-                    best = max(best, (gain - STEP_GAIN * steps, gain, got, step[3]))
+                    yield step
+
+    def score(self, word: str) -> float:
+        return sum(map(self.logs.__getitem__, _pairs(word))) - IRREGULAR * _irregular(word)
+
+    def repair(self, word: str) -> tuple[str, float, bool]:
+        """The likeliest original, how much likelier it is, and whether UTF-8 was undone for it."""
+        base, best = self.score(word), (0.0, 0.0, word, False)
+        for got, steps, _, utf8 in self.forms(word):
+            gain = self.score(got) - base
+            best = max(best, (gain - STEP_GAIN * (steps - 1), gain, got, utf8))
         return best[2], best[1], best[3]
 
 
+def _pairs(word: str) -> Iterator[str]:
+    s = f" {word.lower()} "
+    return map(operator.add, s, s[1:])
+
+
+def _asked(model: Model, others: list[Table]):
+    """Words to the character pairs (w, c) of all that they may be; words that may be nothing else are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for w in b.column("w").to_pylist():
+                forms = {x[0] for x in model.forms(w)} | {y for t in others if (y := t.undo(w))}
+                if forms:
+                    out += [(w, c) for c in sorted({c for x in (w, *forms) for c in _pairs(x)})]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([c for _, c in out], pa.string())], ["w", "c"])
+
+    return run
+
+
+def with_pairs(words: DataFrame, model: Model, pairs: DataFrame, others: list[Table] = ()) -> DataFrame:
+    """The words (w), and where the model has its pairs joined (w, ps): those that may be others, with the counts of their pairs."""
+    if not model.joined:
+        return words
+    asked = words.mapInArrow(_asked(model, list(others)), "w string, c string")
+    return checked_join(asked, pairs, "c", "w", PAIRS_MOST, "left").groupBy("w").agg(F.collect_list(F.struct("c", F.coalesce("n", F.lit(0).cast("long")).alias("n"))).alias("ps"))
+
+
 def _undone(made: list[Table]):
     """Of the words those that are UTF-8 throughout in one of the tables."""
     byte = [t for t in made if t.kind == "bytes"]
@@ -409,6 +448,7 @@ def _guess(model: Model, others: list[Table]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            model.take(b)
             out = []
             for x in b.column("w").to_pylist():
                 if got := [(y, i) for i, t in enumerate(others) if (y := t.undo(x))]:
@@ -424,6 +464,7 @@ def _guess(model: Model, others: list[Table]):
 def _repair(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            model.take(b)
             out = [(w, *model.repair(w)) for w in b.column("w").to_pylist()]
             out = [o for o in out if o[2] >= GAIN_LEAST]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[3] or o[2] >= GAIN_SURE for o in out], pa.bool_())], ["w", "back", "sure"])
@@ -431,8 +472,8 @@ def _repair(model: Model):
     return run
 
 
-def learn(words: DataFrame, texts: DataFrame) -> Model:
-    """The model from the distinct texts (t) and their words (w, df).
+def learn(words: DataFrame, texts: DataFrame) -> tuple[Model, DataFrame]:
+    """The model from the distinct texts (t) and their words (w, df), and all character pairs (c, n).
 
     Windows of the texts are joined with near-twins on the text without characters beyond ASCII,
     the runs of such characters aligned, and the mappings that recur gathered in tables. Words that
@@ -449,17 +490,21 @@ def learn(words: DataFrame, texts: DataFrame) -> Model:
     kept = ascii_words.unionByName(words.where(F.col("w").rlike(r"[^\x00-\x7f]")).select("w", "df").join(undone, "w", "left_anti"))
     padded = kept.select("df", F.concat(F.lit(" "), F.lower("w"), F.lit(" ")).alias("p"))
     two = padded.select("df", F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - 1), lambda i: F.substring(F.col("p"), i, F.lit(2)))).alias("c"))
-    pairs = two.groupBy("c").agg(F.sum("df").alias("n")).orderBy(F.desc("n"), "c").limit(PAIRS_MOST)
-    model = Model({r["c"]: r["n"] for r in pairs.collect() if len(r["c"]) == 2}, made)
+    pairs = stage(two.where(F.length("c") == 2).groupBy("c").agg(F.sum("df").alias("n")))
+    # at most one row for each character in use
+    first = {r["a"]: r["n"] for r in pairs.groupBy(F.substring("c", 1, 1).alias("a")).agg(F.sum("n").alias("n")).collect()}
+    kinds = pairs.select(F.countDistinct(F.substring("c", 2, 1))).first()[0]
+    model = Model({r["c"]: r["n"] for r in pairs.collect()} if pairs.count() <= PAIRS_MOST else None, first, kinds, made)
     others = [Table(name, t.of) for t in made if t.kind == "bytes" for name in multi_bytes()]
     if not others:
-        return model
+        return model, pairs
     bare = high.where(F.length(F.regexp_replace("w", "[^A-Za-z]", "")) == 0).select("w")
-    tried = stage(bare.mapInArrow(_guess(model, others), "i int, w string, back string, gain double"))
+    tried = stage(with_pairs(bare, model, pairs, others).mapInArrow(_guess(model, others), "i int, w string, back string, gain double"))
     plain = tried.where(F.col("gain") < GAIN_SURE).join(words, "w").join(words.select(F.col("w").alias("back"), F.col("df").alias("df2")), "back").where(F.col("df2") >= FREQUENT * F.col("df"))
     told = tried.where(F.col("gain") >= GAIN_SURE).select("i", "w").unionByName(plain.select("i", "w")).groupBy("i").agg(F.count("*").alias("n"))
     # at most one row for each of the tables tried
-    return Model(model.pairs, made + [others[r["i"]] for r in told.where(F.col("n") >= VOTES_LEAST).orderBy("i").collect()])
+    more = [others[r["i"]] for r in told.where(F.col("n") >= VOTES_LEAST).orderBy("i").collect()]
+    return Model(None if model.joined else model.pairs, first, kinds, made + more), pairs
 
 
 def _lost_twins(words: DataFrame) -> DataFrame:
@@ -488,9 +533,9 @@ def word_repairs(df: DataFrame, key: str, text: str) -> DataFrame:
     once = df.groupBy(F.col(text).alias("t")).agg(F.count("*").alias("n"))
     once = stage(once.where("t is not null"))
     words = stage(tokens_of(once, "n", "t").groupBy("w").agg(F.count("*").alias("df"), F.sum("k").alias("rows")))
-    model = learn(words, once.select("t"))
+    model, pairs = learn(words, once.select("t"))
     high = spread(words.where(F.col("w").rlike(r"[^\x00-\x7f]") & ~F.col("w").contains(LOST)).select("w"), "w")
-    fixed = stage(high.mapInArrow(_repair(model), "w string, back string, sure boolean"))
+    fixed = stage(with_pairs(high, model, pairs).mapInArrow(_repair(model), "w string, back string, sure boolean"))
     # what a single-byte transformation gives must be a much more frequent word
     held = fixed.where("not sure").join(words, "w").join(words.select(F.col("w").alias("back"), F.col("df").alias("df2")), "back").where(F.col("df2") >= FREQUENT * F.col("df"))
     fixed = fixed.where("sure").unionByName(held.select("w", "back", F.lit(True).alias("sure")))

@@ -408,6 +408,16 @@ def test_garbled_texts(spark):
     assert garbled.garbled(d.limit(0), "w", "back").count() == 0
 
 
+def test_all_character_pairs_count(spark, monkeypatch):
+    """Beyond PAIRS_MOST the pairs are joined to the words instead of handed to the tasks, with the same outcome."""
+    bad = [(1000 + 100 * i + k, t.encode().decode(r) + f" {k}.") for i, t in enumerate(CLEAN[:3]) for r in ("latin-1", "cp437") for k in range(3 * (r == "cp437"), 3 + 3 * (r == "cp437"))]
+    d = spark.createDataFrame([(i, CLEAN[i % len(CLEAN)] + f" {i}.") for i in range(120)] + bad, "w long, back string")
+    whole = {r.w: r.back for r in garbled.restore(d, "w", "back").collect()}
+    assert len(whole) >= 6
+    monkeypatch.setattr(garbled, "PAIRS_MOST", 20)
+    assert {r.w: r.back for r in garbled.restore(d, "w", "back").collect()} == whole
+
+
 @pytest.mark.parametrize("near", [False, True])
 def test_garbled_text_that_holds_most_rows(spark, near):
     rows = [(i, CLEAN[i % len(CLEAN)] + f" {i}.") for i in range(60)]
