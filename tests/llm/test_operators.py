@@ -410,11 +410,14 @@ def test_garbled_texts(spark):
 
 def test_all_character_pairs_count(spark, monkeypatch):
     """Beyond PAIRS_MOST the pairs are joined to the words instead of handed to the tasks, with the same outcome."""
-    bad = [(1000 + 100 * i + k, t.encode().decode(r) + f" {k}.") for i, t in enumerate(CLEAN[:3]) for r in ("latin-1", "cp437") for k in range(3 * (r == "cp437"), 3 + 3 * (r == "cp437"))]
-    d = spark.createDataFrame([(i, CLEAN[i % len(CLEAN)] + f" {i}.") for i in range(120)] + bad, "w long, back string")
+    words = "ağaç şekil ışık gülüş çağrı öğüt sığır düğüm kışın güneş üşüdü çiçeği başım yağış İzmir Şubat".split()
+    r = random.Random(3)
+    lines = [" ".join(r.choice(words) for _ in range(9)) + f" satir {i}" for i in range(300)]
+    bad = [(1000 + i, lines[i].encode("cp1254").decode("latin-1")) for i in range(24)]
+    d = spark.createDataFrame(list(enumerate(lines)) + bad, "w long, back string")
     whole = {r.w: r.back for r in garbled.restore(d, "w", "back").collect()}
-    assert len(whole) >= 6
-    monkeypatch.setattr(garbled, "PAIRS_MOST", 20)
+    assert len(whole) == 24
+    monkeypatch.setattr(garbled, "PAIRS_MOST", 5)
     assert {r.w: r.back for r in garbled.restore(d, "w", "back").collect()} == whole
 
 
