@@ -38,6 +38,26 @@ def test_neighbours_recall_and_order(spark):
     assert Counter(r.id for r in got) == {i: 5 for i in ids}
 
 
+def test_neighbours_of_least_cosine_in_rounds(spark, monkeypatch):
+    # families of 1 to 9 near copies: all pairs of at least the cosine, also where asks go in many rounds and a family is larger than k
+    r = np.random.default_rng(8)
+    c = r.standard_normal((260, 64))
+    u = np.array([c[i] + r.uniform(0.1, 0.6) * r.standard_normal(64) for i in range(260) for _ in range(1 + i % 9)])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(u)]
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(len(u)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.85}
+    monkeypatch.setattr(neighbours, "ROUND_LEAST", 1)
+    monkeypatch.setattr(neighbours, "ROUND_EACH", 1)
+    seen, real = [], neighbours.stage
+    monkeypatch.setattr(neighbours, "stage", lambda d: seen.append(d.columns) or real(d))
+    got = neighbours.neighbours(spark.createDataFrame(rows, "c long, v array<double>"), "c", "v", least=0.85).collect()
+    assert {(x.id, x.neighbour) for x in got} == want and len(want) > 3000
+    assert all(abs(x.sim - s[x.id][x.neighbour]) < 1e-6 for x in got)
+    assert seen.count(["q", "id", "sim"]) > 1
+
+
 def test_neighbours_of_copies_and_unusable_vectors(spark):
     one, two = [1.0] + [0.0] * 63, [0.0] * 63 + [2.0]
     rows = [(i, one) for i in range(40)] + [(100, [3.0 * x for x in one]), (200, two), (200, two), (300, None), (301, [0.0] * 64), (302, one[:63]), (303, [float("nan")] + one[1:]), (304, [None] + one[1:])]
