@@ -239,6 +239,22 @@ def test_similar_sets_equal_brute_force(spark):
     assert neardup.groups(d.limit(0), "h", "n").count() == 0
 
 
+def test_sets_that_differ_too_much_do_not_travel(spark, monkeypatch):
+    # texts put together from common sentences, some with a near copy of another length: unlike pairs must not get as far as the comparison
+    r = random.Random(5)
+    pool = [" ".join(f"w{r.randrange(900)}" for _ in range(6)) for _ in range(400)]
+    texts = [" ".join(r.choice(pool) for _ in range(r.randrange(10, 30))) for _ in range(250)]
+    texts += [" ".join(_edit(r, W(t), 8)) + " " + " ".join(r.sample(pool, i % 9)) for i, t in enumerate(texts[:80])]
+    s = [frozenset(zip(W(t), W(t)[1:], W(t)[2:])) for t in texts]
+    want = {(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if 2 * len(s[i] & s[j]) >= len(s[i] | s[j])}
+    seen, real = [], neardup.verified
+    monkeypatch.setattr(neardup, "PASS_ROWS", 4000)
+    monkeypatch.setattr(neardup, "verified", lambda pairs, p: seen.append(pairs.count()) or real(pairs, p))
+    got = neardup.similar_pairs(*neardup.similar_sets(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t"))
+    assert {(x.a, x.b) for x in got.collect()} == want and len(want) > 50
+    assert seen[0] < 3 * len(want)
+
+
 def test_a_large_family_has_few_links(spark, monkeypatch):
     r = random.Random(7)
     base = [f"w{r.randrange(500)}" for _ in range(120)]
