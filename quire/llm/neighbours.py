@@ -22,7 +22,7 @@ TUNE_QUERIES, TUNE_SHARE = 400, 0.95
 CELLS_MOST, BLOCK, QUERY_BITS, EPSILON = 4096, 8192, 4, 1.9
 #: With a least cosine: cells to the root of the rows, room beyond the widest gap of sampled pairs, width of the error
 #: bound (the threshold is fixed, so a pair is lost where it fails), and asks of a round, at most so many a row or in all.
-CELLS_ROOT, GAP_ROOM, EPSILON_LEAST, ROUND_EACH, ROUND_LEAST = 2.0, 0.02, 4.5, 4, 1 << 20
+CELLS_ROOT, GAP_ROOM, EPSILON_LEAST, ROUND_EACH, ROUND_LEAST = 2.0, 0.05, 4.5, 4, 1 << 20
 #: Rows multiplied with the centroids at a time, and pairs compared exactly at a time.
 STRETCH, PAIRS = 1024, 1 << 16
 #: Index rows whose largest lower bound stands for them when the k-th best is sought.
